@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.bpe import op4_byte_bpe
 from cartulary.llm.quality import op1_quality_rules
+from cartulary.llm.secret_scan import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
