@@ -23,8 +23,10 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]],
         work = make()
         for batch in batches:
             columns = work(batch.column("_text").to_pylist())
-            arrays = [batch.column(c) for c in kept] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+            arrays = [batch.column(c) for c in kept] + [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    names = [part.strip().split()[0].strip("`") for part in schema.split(",")] if schema else []
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    parts = [part.split() for part in schema.split(",")] if schema else []
+    names, kinds = [p[0] for p in parts], [types[p[1]] for p in parts]
     return rows.mapInArrow(run, out)
