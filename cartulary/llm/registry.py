@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.packing import op6_pack_windows
 from cartulary.llm.license_scan import op10_license_scan
 from cartulary.llm.sharding import op9_stratified_shards
 from cartulary.llm.bpe import op4_byte_bpe
@@ -13,6 +14,7 @@ from cartulary.llm.quality import op1_quality_rules
 from cartulary.llm.secret_scan import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_pack_windows": op6_pack_windows,
     "op10_license_scan": op10_license_scan,
     "op9_stratified_shards": op9_stratified_shards,
     "op1_quality_rules": op1_quality_rules,
