@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.avi import op7_avi_media
 from cartulary.llm.language_id import op8_language_id
 from cartulary.llm.packing import op6_pack_windows
 from cartulary.llm.license_scan import op10_license_scan
@@ -15,6 +16,7 @@ from cartulary.llm.quality import op1_quality_rules
 from cartulary.llm.secret_scan import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_avi_media": op7_avi_media,
     "op8_language_id": op8_language_id,
     "op6_pack_windows": op6_pack_windows,
     "op10_license_scan": op10_license_scan,
