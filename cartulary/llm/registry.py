@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.html_extract import op3_html_extract
 from cartulary.llm.jaccard_join import op5_jaccard_join
 from cartulary.llm.avi import op7_avi_media
 from cartulary.llm.language_id import op8_language_id
@@ -17,6 +18,7 @@ from cartulary.llm.quality import op1_quality_rules
 from cartulary.llm.secret_scan import op2_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_extract": op3_html_extract,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_avi_media": op7_avi_media,
     "op8_language_id": op8_language_id,
