@@ -1,12 +1,11 @@
 """Operator 4, byte-level BPE encoding and decoding with a lazily determinised finite-state transducer.
 
 Encoding. The encoding of a prefix determines its last token, and the encoding of the prefix before that token is what precedes
-it. So for every position the transducer needs only the last token that ends there: the longest vocabulary suffix ``t`` that
-can follow the last token before it, that is, whose pairing with that token is stable under the merges (merging the two
-tokens' bytes by rank gives the same two tokens back). A state is the tree of last tokens over the positions that a later token can still
-reach back to. Reading a byte adds a position; as soon as all live back-pointers run through one position, the tokens before
-it cannot change any more and are emitted: the lookahead is bounded by the longest token. States and their transitions
-are made when first met and kept (lazy determinisation), each state relative to its first live position, so equal situations share it.
+it. So the last token at a position is the one vocabulary suffix that stays apart from the last token where it starts, under
+the merges. A later token can only start at a live position: one from which the bytes read so far are the beginning of a vocabulary entry. A
+state of the transducer holds, for each live position, the tokens that lead to it. Reading a byte adds a position; tokens that
+all live positions share cannot change any more and are emitted, so the lookahead is bounded by the longest entry. States and
+transitions are made when first met and kept (lazy determinisation); they don't depend on where in a text they are met, so few are needed.
 
 The pre-tokenizer's matches are encoded one by one; results of short pieces of text are kept in a bounded table, as natural text repeats its words.
 
@@ -20,6 +19,7 @@ returned as null; extra columns are ignored. Surrogates cannot occur in Spark st
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from functools import lru_cache
@@ -34,8 +34,8 @@ from cartulary.llm.batches import map_texts
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 CACHED_CHARS = 48
-CACHED_PIECES = 250_000
-STATES = 200_000
+CACHED_PIECES = 300_000
+STATES = 400_000
 NEVER = 1 << 62
 ONE = [bytes((b,)) for b in range(256)]
 
@@ -49,16 +49,18 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=1)
+        self.beginnings = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pair: dict[tuple[bytes, bytes], bool] = {}
         self.spine: dict[bytes, tuple[list, list]] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: A state: the last token for each live position after the first, oldest first. next: (state, byte) -> (state, emitted ids).
-        self.states: list[tuple[bytes, ...]] = [()]
-        self.read: list[bytes] = [b""]  # the bytes of each state's live positions
-        self.numbers: dict[tuple[bytes, ...], int] = {(): 0}
+        #: A state: the bytes since its first live position, and (live position, tokens that lead to it) in order of position. The
+        #: first token of each is the last one emitted, empty at the beginning.
+        start = (b"", ((0, (b"",)),))
+        self.states = [start]
+        self.numbers = {start: 0}
+        #: state << 8 | byte -> (state, ids that are now certain)
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
@@ -118,58 +120,48 @@ class Transducer:
         return found
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Read a byte: the new state and the ids that are now certain."""
-        live = self.states[state]
-        data = self.read[state] + ONE[byte]
-        n = len(data)
-        last = None
-        for length in range(min(self.longest, n), 0, -1):
-            token = data[n - length :]
-            if token not in self.ranks:
-                continue
-            before = n - length
-            if before == 0:
-                last = token
-                break
-            elif self.stable(live[before - 1], token):
-                last = token
-                break
-        if last is None:
+        """Make the transition for a byte: the new state and the ids that are now certain."""
+        since, live = self.states[state]
+        data = since + ONE[byte]
+        ranks, beginnings, stable, here, paths = self.ranks, self.beginnings, self.stable, None, []
+        for pos, path in live:  # from the longest token down
+            token = data[pos:]
+            if here is None and token in ranks and (not path[-1] or stable(path[-1], token)):
+                here = (*path, token)
+            if token in beginnings:
+                paths.append((pos, path))
+        if here is None:
             raise ValueError("the rank table lacks a single byte")
-        grown = (*live, last)
-        emitted: list[int] = []
-        # a later token reaches back over the longest token's length at most; positions before that are fixed once all live chains meet
-        start = 0
-        while n + 1 - self.longest > start:
-            ends = set()
-            for pos in range(n + 1 - self.longest, n + 1):
-                at = pos
-                while at - len(grown[at - 1]) > start:
-                    at -= len(grown[at - 1])
-                ends.add(at)
-                if len(ends) > 1:
-                    break
-            if len(ends) != 1 or (cut := ends.pop()) >= n:
-                break
-            emitted.append(self.ranks[grown[cut - 1]])
-            start = cut
-        kept = grown[start:]
-        number = self.numbers.get(kept)
+        paths.append((len(data), here))
+        lo, emitted = paths[0][0], ()
+        if len(paths[0][1]) > 1:
+            every = [path for _, path in paths]
+            least, most = min(every), max(every)  # what these two share, all share
+            same = next((k for k, t in enumerate(least) if k == len(most) or t != most[k]), len(least))
+            if same > 1:
+                emitted = tuple([ranks[t] for t in least[1:same]])
+                paths = [(pos, path[same - 1 :]) for pos, path in paths]
+        found = (data[lo:], tuple([(pos - lo, path) for pos, path in paths] if lo else paths))
+        number = self.numbers.get(found)
         if number is None:
-            number = self.numbers[kept] = len(self.states)
-            self.states.append(kept)
-            self.read.append(data[start:])
-        got = self.next[state << 8 | byte] = (number, tuple(emitted))
+            number = self.numbers[found] = len(self.states)
+            self.states.append(found)
+        got = self.next[state << 8 | byte] = (number, emitted)
         return got
 
-    def flush(self, state: int) -> list[int]:
-        """At the end of the input: the tokens along the back-pointers."""
-        live, out = self.states[state], []
-        at = len(live)
-        while at > 0:
-            out.append(self.ranks[live[at - 1]])
-            at -= len(live[at - 1])
-        return out[::-1]
+    def end(self, state: int, byte: int) -> list[int]:
+        """The tokens still open after the input's last byte. No state is made for the end of a word, which most new words have to themselves."""
+        got = self.next.get(state << 8 | byte)
+        if got is not None:
+            path = self.states[got[0]][1][-1][1]
+            return [*got[1], *[self.ranks[t] for t in path[1:]]]
+        since, live = self.states[state]
+        data = since + ONE[byte]
+        for pos, path in live:
+            token = data[pos:]
+            if token in self.ranks and (not path[-1] or self.stable(path[-1], token)):
+                return [self.ranks[t] for t in (*path[1:], token)]
+        raise ValueError("the rank table lacks a single byte")
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -178,11 +170,11 @@ class Transducer:
         if len(self.states) > STATES:
             self.reset()
         state, out, known = 0, [], self.next.get
-        for byte in data:
+        for byte in data[:-1]:
             state, emitted = known(state << 8 | byte) or self.step(state, byte)
             if emitted:
                 out.extend(emitted)
-        return out + self.flush(state)
+        return out + self.end(state, data[-1])
 
 
 class Utf8Machine:
@@ -233,41 +225,53 @@ class Codec:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.utf8 = Utf8Machine(self.vocabulary)
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        encode = self.machine.encode
-        return tuple(i for m in self.pattern.finditer(chunk) for i in encode(m[0].encode()))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. The chunks are those that no match of the pattern crosses, so equal chunks have equal ids wherever they stand."""
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
+        for piece in self.pattern.findall(chunk):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = np.array(self.machine.encode(piece.encode()), dtype="<u4").tobytes()
+                if len(piece) <= CACHED_CHARS:
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, packed. The chunks are those that no match of the pattern crosses, so equal chunks have equal ids wherever they stand."""
         if len(self.kept) > CACHED_PIECES:  # two generations: what is met again stays
             self.kept, self.older = {}, self.kept
-        kept, older, out = self.kept, self.older, []
-        for chunk in CHUNK.findall(text):
-            ids = kept.get(chunk)
-            if ids is None:
-                ids = older.get(chunk) or self._chunk(chunk)
-                if len(chunk) <= CACHED_CHARS:
-                    kept[chunk] = ids
-            out.extend(ids)
-        return out
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        kept, older = self.kept, self.older
+        chunks = CHUNK.findall(text)
+        long = []
+        for chunk in set(chunks).difference(kept):
+            kept[chunk] = older.get(chunk) or self._chunk(chunk)
+            if len(chunk) > CACHED_CHARS:
+                long.append(chunk)
+        packed = b"".join(map(kept.__getitem__, chunks))
+        for chunk in long:
+            del kept[chunk]
+        return packed
 
     def decode(self, ids: list[int]) -> tuple[bytes, bool]:
         """The bytes, and whether they are UTF-8."""
         return b"".join(map(self.vocabulary.__getitem__, ids)), self.utf8.run(ids)
 
     def digest(self, text: str | None) -> tuple[int, str, str, bool]:
-        ids = self.encode(text or "")
-        packed = np.array(ids, dtype="<u4").tobytes()
+        packed = self.encode(text or "")
         data, valid = self.decode(np.frombuffer(packed, dtype="<u4").tolist())
-        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest(), valid
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest(), valid
 
 
 @lru_cache(maxsize=2)
 def _codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for all tasks of a Python worker, so what it has compiled and kept is used again."""
+    """One codec for all tasks of a Python worker, so what it has compiled and kept is used again. Its tables hold no cycles: few collections are needed."""
+    gc.set_threshold(1_000_000, 50, 100)
     return Codec(raw, pattern)
 
 
