@@ -56,15 +56,15 @@ def shard(
         (F.length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col))).alias("_source"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1).alias("_h"),
     )
     totals = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_total"))
     every = totals.agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("_all"))
     n = every.select(F.col("_all")).scalar()
     ranges = F.least(F.lit(MAX_RANGES), F.greatest(F.lit(1), F.ceil(n / rows_per_range))).cast("long")
     # the hash as a fraction of its range, from 0 to below 1
-    spread = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
-    shuffled = _ranked(rows, ["_source"], F.floor(spread * ranges), [F.col("_h"), F.col("doc_id"), F.col("text_crc32")], "_rank")
+    spread = F.col("_h") / F.lit(float(1 << 63))
+    shuffled = _ranked(rows, ["_source"], F.least(F.floor(spread * ranges), ranges - 1), [F.col("_h"), F.col("doc_id"), F.col("text_crc32")], "_rank")
     step = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_source")), 11) / F.lit(float(1 << 53))
     placed = shuffled.join(totals.withColumnRenamed("_source", "_s"), F.col("_source") == F.col("_s")).select(
         "doc_id", "size", "text_crc32", "_source", "_h", ((F.col("_rank") + step) / F.col("_total")).alias("_at"), F.lit(0).alias("_one")
