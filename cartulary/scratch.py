@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,3 +26,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files. Spark deletes them when the driver's objects for them are collected, which otherwise may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
