@@ -9,13 +9,14 @@ exact copies never meet as pairs. Two nodes link when 100 * |A n B| >= 75 * |A u
 * The first fragment of a node is its prefix, the n - ceil(0.75 n) + 1 first n-grams: two linked nodes share one at least. The
   prefix overlaps of a pair are counted, and the count with the places of the last common n-gram bounds the whole overlap, which
   discards most pairs that only share a passage.
-* For what is left the order's other fragments (ranges of the hash) are counted separately, fragment by fragment, and summed per pair.
-  That sum is exact.
+* For what is left the sets' fragments (ranges of the hash) are counted separately, fragment by fragment, and summed per pair. That
+  sum is exact.
 
-Links are wanted for components, so no group's pairs are ever all made. In the list of an n-gram each node first meets only
-the list's leader; found links are contracted to components, and lists whose nodes are all in one component are done. Further rounds take other
-leaders. Only nodes of one list that are still in different components are compared in the end, all of them, so no link
-between components is lost. Lists of frequent n-grams are split by a salt before they are ordered.
+Links are wanted for components, so a large group's pairs are not all made. Where the lists would give more than
+``FIRST_CROSS_PER_ROW`` pairs a row of the table (``CROSS_PER_ROW`` from the second round on), each node of an n-gram's list first meets only the list's leader; found links are
+contracted to components, and lists whose nodes are all in one component are done; further rounds take other leaders. Nodes of one list
+that are still in different components are compared in the end, all of them, so no link between components is lost. Lists of frequent
+n-grams are split by a salt before they are ordered.
 
 Memory is bounded by a batch and its sets; the driver holds two bit maps of fixed size and counts. Each table that a later step reads twice is
 written to the shared folder, so lost executors only cost a stage.
@@ -37,21 +38,28 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cartulary.scratch import cut
+from cartulary.scratch import cut, release
 
 WORDS = 5
-SKETCH_BITS, CHUNKS = 20, 64
+SKETCH_BITS, CHUNKS = 22, 256
 FILTER_BITS = 23
-FRAGMENTS = 4
+FRAGMENTS = 2
 SALTS = 64
 ROUNDS = 3
+FIRST_CROSS_PER_ROW, CROSS_PER_ROW = 4, 100
 KEPT_WORDS = 300_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     def __init__(self):
-        self.kept: dict[bytes, int] = {}
+        self.kept = _WordHashes()
 
     def hashes(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct shingle hashes of a text."""
@@ -64,8 +72,6 @@ class Shingler:
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = xxhash.xxh3_64_intdigest(w)
         each = np.fromiter(map(kept.__getitem__, words), dtype=np.uint64, count=n)
         total = each[: n - WORDS + 1] * _MULTIPLIERS[0]
         for k in range(1, WORDS):
@@ -116,7 +122,8 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *none], names=names)
         if ids is not None and sketch.any():
-            parts = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(CHUNKS, -1)
+            # one byte a cell unless a chunk needs four
+            parts = [p.astype("<u1" if p.max() < 256 else "<u4") for p in np.minimum(sketch, 0xFFFFFFFF).reshape(CHUNKS, -1)]
             pid = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(CHUNKS, ids.type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([pid] * CHUNKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
@@ -130,10 +137,14 @@ def _frequent(table: DataFrame, sets: DataFrame) -> bytes:
     """Bit map, of fixed size, of the sketch cells that stand out: 2 ** SKETCH_BITS bits."""
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     mean = total / (1 << SKETCH_BITS)
-    limit = mean + max(32.0, 6.0 * mean**0.5)
+    limit = mean + max(16.0, 6.0 * mean**0.5)
+    cells = (1 << SKETCH_BITS) // CHUNKS
 
     def add(frame: pd.DataFrame) -> np.ndarray:
-        return sum((np.frombuffer(c, dtype="<u8" if len(c) > 4 << SKETCH_BITS - 6 else "<u4").astype("<u8") for c in frame["counts"]), np.zeros((1 << SKETCH_BITS) // CHUNKS, dtype="<u8"))
+        out = np.zeros(cells, dtype="<u8")
+        for c in frame["counts"]:
+            out += np.frombuffer(c, dtype=f"<u{len(c) // cells}")
+        return out
 
     def partial(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "counts": [add(frame).tobytes()]})
@@ -145,7 +156,7 @@ def _frequent(table: DataFrame, sets: DataFrame) -> bytes:
     summed = parts.groupBy("chunk", "part").applyInPandas(partial, "chunk int, counts binary").groupBy("chunk").applyInPandas(bits, "chunk int, counts binary")
     out = bytearray((1 << SKETCH_BITS) // 8)
     size = len(out) // CHUNKS
-    for row in summed.collect():  # CHUNKS rows of 2 KB
+    for row in summed.collect():  # CHUNKS rows of 2 KB each
         out[row["chunk"] * size : (row["chunk"] + 1) * size] = row["counts"]
     return bytes(out)
 
@@ -207,12 +218,12 @@ def _members(postings: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text_col: str, wanted) -> DataFrame:
-    """key, frag, n, hashes: the fragments of the nodes whose bit is set in ``wanted`` (no wanted node is missing; a few others may be there)."""
+    """key, frag, n, hashes: the fragments (ranges of the hash) of the nodes whose bit is set in ``wanted``. No wanted node is missing; a few others may be there."""
     rows = docs.select(F.col(text_col).cast("binary").alias("_text")).where(F.col("_text").isNotNull())
+    edges = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bits, seen = _shingler(), np.frombuffer(wanted.value, dtype=np.uint8), set()
-        edges = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], dtype=np.uint64)
         for batch in batches:
             keys, frags, sizes, data = [], [], [], []
             for text in batch.column("_text"):
@@ -224,15 +235,14 @@ def _sets(docs: DataFrame, text_col: str, wanted) -> DataFrame:
                     continue
                 seen.add(key)
                 for k, part in enumerate(np.split(h, np.searchsorted(h, edges))):
-                    if len(part):
-                        keys.append(key)
-                        frags.append(k)
-                        sizes.append(len(h))
-                        data.append(part.tobytes())
+                    keys.append(key)
+                    frags.append(k)
+                    sizes.append(len(h))
+                    data.append(part.tobytes())
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["key", "frag", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["key", "frag", "n", "hashes"])
 
-    return rows.mapInArrow(run, "key long, frag int, n int, hashes binary")
+    return rows.mapInArrow(run, "key long, frag int, n long, hashes binary").groupBy("key", "frag").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
 def _key_filter(pairs: DataFrame) -> bytes:
@@ -267,21 +277,23 @@ def _bounded(shared: DataFrame) -> DataFrame:
 def _overlaps(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     """Links among the pairs: the overlap is counted in each fragment separately and summed per pair."""
     wanted = docs.sparkSession.sparkContext.broadcast(_key_filter(pairs))
-    sets = _sets(docs, text_col, wanted).groupBy("key", "frag").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    left = pairs.join(sets.select(F.col("key").alias("a"), "frag", F.col("n").alias("na"), F.col("hashes").alias("ha")), "a")
-    right = sets.select(F.col("key").alias("b"), "frag", F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+    sets = _sets(docs, text_col, wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "c"])
-
-    partial = left.join(right, ["b", "frag"]).select("a", "b", "na", "nb", "ha", "hb").mapInArrow(count, "a long, b long, na int, nb int, c long")
+            ha, hb = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("ha", "hb"))
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(ha, hb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "c"])
+
+    each = pairs.select("a", "b", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])).alias("frag"))
+    met = each.join(sets.select(F.col("key").alias("a"), "frag", F.col("n").alias("na"), F.col("hashes").alias("ha")), ["a", "frag"]).join(
+        sets.select(F.col("key").alias("b"), "frag", F.col("n").alias("nb"), F.col("hashes").alias("hb")), ["b", "frag"]
+    )
+    partial = met.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(count, "a long, b long, na long, nb long, c long")
     summed = partial.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return summed.where(_possible(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
+    links = cut(summed.where(_possible(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
+    release(docs.sparkSession)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,17 +355,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = table.where("chunk is null").select("doc_id", "key", "n")
     bitmap = context.broadcast(_frequent(table, sets))
     members = cut(_members(_postings(docs, text_col, bitmap)), "members")
-    comps, links, left = None, None, None
-    for k in range(rounds):
+    release(docs.sparkSession)
+    rows = sets.count()
+    comps, links = None, None
+    for k in range(rounds + 1):
         open_members = cut(_unsettled(members, comps), "open")
         cross = _cross_rows(open_members)
         if not cross:
             break
-        last = k == rounds - 1 or (left is not None and cross > 0.5 * left) or cross <= 100_000
-        left = cross
+        last = cross <= (CROSS_PER_ROW if k else FIRST_CROSS_PER_ROW) * rows or k == rounds
         shared = _all_cross(open_members) if last else _with_prefix(_star(open_members, k), open_members)
         pairs = cut(_bounded(shared), "pairs")
-        found = cut(_overlaps(docs, text_col, pairs), "links")
+        release(docs.sparkSession)
+        found = _overlaps(docs, text_col, pairs)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
         if last:

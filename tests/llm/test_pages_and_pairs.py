@@ -109,6 +109,7 @@ def test_near_copies_with_leaders(spark, monkeypatch):
         rows.append((i, " ".join([rng.choice(words) for _ in range(rng.randint(2, 40))] + passage)))
     rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (None, "one two"), (204, rows[3][1]), (204, rows[3][1])]
     monkeypatch.setattr(J, "CROSS_PER_ROW", 0)
+    monkeypatch.setattr(J, "FIRST_CROSS_PER_ROW", 0)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()]
     want = [(k, n, c if n else k) for k, n, c in _brute(rows)]
