@@ -34,8 +34,8 @@ from cartulary.llm.batches import map_texts
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 CACHED_CHARS = 48
-CACHED_PIECES = 300_000
-STATES = 400_000
+CACHED_PIECES = 500_000
+STATES = 100_000
 NEVER = 1 << 62
 ONE = [bytes((b,)) for b in range(256)]
 
@@ -119,9 +119,8 @@ class Transducer:
             self.pair[key] = found
         return found
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the transition for a byte: the new state and the ids that are now certain."""
-        since, live = self.states[state]
+    def advance(self, since: bytes, live: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """Read a byte in a situation: the new situation and the ids that are now certain."""
         data = since + ONE[byte]
         ranks, beginnings, stable, here, paths = self.ranks, self.beginnings, self.stable, None, []
         for pos, path in live:  # from the longest token down
@@ -141,7 +140,11 @@ class Transducer:
             if same > 1:
                 emitted = tuple([ranks[t] for t in least[1:same]])
                 paths = [(pos, path[same - 1 :]) for pos, path in paths]
-        found = (data[lo:], tuple([(pos - lo, path) for pos, path in paths] if lo else paths))
+        return (data[lo:], tuple([(pos - lo, path) for pos, path in paths] if lo else paths)), emitted
+
+    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Make the transition for a byte, and its state if that is new."""
+        found, emitted = self.advance(*self.states[state], byte)
         number = self.numbers.get(found)
         if number is None:
             number = self.numbers[found] = len(self.states)
@@ -155,7 +158,9 @@ class Transducer:
         if got is not None:
             path = self.states[got[0]][1][-1][1]
             return [*got[1], *[self.ranks[t] for t in path[1:]]]
-        since, live = self.states[state]
+        return self._last(*self.states[state], byte)
+
+    def _last(self, since: bytes, live: tuple, byte: int) -> list[int]:
         data = since + ONE[byte]
         for pos, path in live:
             token = data[pos:]
@@ -167,11 +172,18 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self.reset()
         state, out, known = 0, [], self.next.get
-        for byte in data[:-1]:
-            state, emitted = known(state << 8 | byte) or self.step(state, byte)
+        for i, byte in enumerate(data[:-1]):
+            got = known(state << 8 | byte)
+            if got is None:
+                if len(self.states) >= STATES:  # the usual states are there by now: the rest of this input goes without new ones
+                    found = self.states[state]
+                    for late in data[i:-1]:
+                        found, emitted = self.advance(*found, late)
+                        out.extend(emitted)
+                    return out + self._last(*found, data[-1])
+                got = self.step(state, byte)
+            state, emitted = got
             if emitted:
                 out.extend(emitted)
         return out + self.end(state, data[-1])
