@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartulary.functions import contents, names
+from cartulary.llm.jaccard_join import components
 from cartulary.operators.index import disk_only, is_document, is_photo, same_size
 from cartulary.scratch import cut
 
+#: Rows of one hash list that are compared with one another under one join key.
+TILE = 2048
 KINDS = {"exact": "Exact copies", "similar_photo": "Similar photos", "similar_document": "Similar documents"}
 MEMBER_COLUMNS = ["gid", "kind", "reason", "id", "path", "display_path", "size", "modified", "category", "archive_container", "keep_rank"]
 
@@ -59,41 +62,51 @@ def by_text(files: DataFrame, largest: int = 40_000_000) -> DataFrame:
     return grouped(files, key, "similar_document", "content")
 
 
-def near_edges(files: DataFrame, prefix: int = 4, distance: int = 8, most: int = 80) -> DataFrame:
-    """(a, b, distance) of files whose visual hashes begin alike and differ in ``distance`` bits at most.
+def _lists(files: DataFrame, prefix: int, most: int | None) -> DataFrame:
+    """(id, visual_hash, p) of the files with a hash; with ``most``, of lists of 2 to ``most`` rows only."""
+    keyed = cut(files.where("visual_hash is not null").select("id", "visual_hash", F.substring("visual_hash", 1, prefix).alias("p")), "hashes")
+    if most is None:
+        return keyed
+    lists = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= 2) & (F.col("_n") <= most)).select("p")
+    return keyed.join(lists, "p", "left_semi")
+
 
-    Only lists of 2 to ``most`` rows are compared, by definition, so a list gives a bounded number of pairs.
+def _close_pairs(rows: DataFrame, key: str, distance: int) -> DataFrame:
+    """(a, b, distance) with a < b: keys of the rows (key, visual_hash, p) of one p whose hashes differ in ``distance`` bits at most.
+
+    A list of more than ``TILE`` rows is cut into blocks, and each pair of blocks is a join key of its own: every pair of the list is compared
+    once, and no task gets more than two blocks of it at a time.
     """
-    keyed = files.where("visual_hash is not null").select("id", "visual_hash", F.substring("visual_hash", 1, prefix).alias("p"))
-    lists = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= 2) & (F.col("_n") <= most)).select("p")
-    few = keyed.join(lists, "p", "left_semi")
-    other = few.select(F.col("id").alias("b"), F.col("visual_hash").alias("vb"), "p")
-    pairs = few.select(F.col("id").alias("a"), F.col("visual_hash").alias("va"), "p").join(other, "p").where("a < b")
-    return pairs.withColumn("distance", contents.hamming(F.col("va"), F.col("vb"))).where(F.col("distance") <= distance).select("a", "b", "distance")
+    large = rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_blocks")).where("_blocks > 1")
+    hexes = F.lower("visual_hash").rlike("^[0-9a-f]{1,16}$")
+    bits = F.conv("visual_hash", 16, -10).cast("long")
+    cut_up = rows.where(hexes & F.col(key).isNotNull()).join(F.broadcast(large), "p", "left").select(
+        F.col(key).alias("k"), "p", F.length("visual_hash").alias("l"), bits.alias("v"), F.coalesce("_blocks", F.lit(1)).alias("_blocks")
+    )
+    placed = cut_up.withColumn("at", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
+    first = placed.select("p", "l", F.col("k").alias("x"), F.col("v").alias("vx"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("_blocks") - 1)).alias("j"))
+    second = placed.select("p", "l", F.col("k").alias("y"), F.col("v").alias("vy"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    apart = F.bit_count(F.col("vx").bitwiseXOR(F.col("vy")))
+    once = first.alias("f").join(second.alias("s"), ["p", "l", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (apart <= distance))
+    return once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.alias("distance"))
 
 
-def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int = 80) -> DataFrame:
-    """Groups by transitive closure of near_edges, without those of one hash only. A list's closure is one small task's work."""
-    import pandas as pd
+def near_edges(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = 80) -> DataFrame:
+    """(a, b, distance) of files whose visual hashes begin alike and differ in ``distance`` bits at most.
 
-    keyed = files.where("visual_hash is not null").withColumn("p", F.substring("visual_hash", 1, prefix))
-    lists = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= 2) & (F.col("_n") <= most)).select("p")
+    ``most`` leaves out lists of more rows, as the reference's in-memory loop does; None compares every list whole.
+    """
+    return _close_pairs(_lists(files, prefix, most), "id", distance)
 
-    def close(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("id").reset_index(drop=True)
-        values = [int(h, 16) for h in rows["visual_hash"]]
-        root = list(range(len(rows)))
-        for i in range(len(rows)):
-            for j in range(i):
-                if (values[i] ^ values[j]).bit_count() <= distance and root[i] != root[j]:
-                    low, high = sorted((root[i], root[j]))
-                    root = [low if r == high else r for r in root]
-        rows["root"] = [f"near:{rows['id'][r]}" for r in root]
-        distinct = rows.groupby("root")["visual_hash"].nunique()
-        return rows[rows["root"].map(distinct) > 1][["id", "root"]]
 
-    roots = keyed.join(lists, "p", "left_semi").select("id", "visual_hash", "p").groupBy("p").applyInPandas(close, "id long, root string")
-    return grouped(files.join(roots, "id"), F.col("root"), "similar_photo", "near")
+def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = 80) -> DataFrame:
+    """Groups by transitive closure of near_edges, without those of one hash only. Equal hashes are one node of the closure."""
+    keyed = _lists(files, prefix, most)
+    nodes = keyed.select("visual_hash", "p").distinct().withColumn("h", F.col("visual_hash"))
+    closed = components(_close_pairs(nodes, "h", distance).select("a", "b"))
+    named = keyed.select("id", "visual_hash").join(closed, F.col("visual_hash") == F.col("key")).select("id", "comp")
+    firsts = named.groupBy("comp").agg(F.concat(F.lit("near:"), F.min("id").cast("string")).alias("root"))
+    return grouped(files.join(named.join(firsts, "comp").select("id", "root").distinct(), "id"), F.col("root"), "similar_photo", "near")
 
 
 def token_overlap(files: DataFrame, limit: float = 0.72, most_common: int | None = None) -> DataFrame:
@@ -172,7 +185,7 @@ def report(files: DataFrame, exact_copies: bool = True, photos: bool = False, do
     similar = []
     if photos:
         some = largest(files.where(is_photo(name, F.col("category"))), limit_photos)
-        similar.append(merged(by_name(some, "similar_photo").unionByName(by_look(some)).unionByName(near_look(some))))
+        similar.append(merged(by_name(some, "similar_photo").unionByName(by_look(some)).unionByName(near_look(some, most=None))))
     if documents:
         some = largest(files.where(is_document(name, F.col("category"))), limit_documents)
         similar.append(merged(by_name(some, "similar_document").unionByName(by_text(some))))

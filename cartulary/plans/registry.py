@@ -303,12 +303,12 @@ _LISTS = "(select p from (select bits[1:4] as p from media) group by p having co
     f"from k a join k b on a.p = b.p and a.id < b.id where a.p in {_LISTS} and bit_count(xor(a.bits::bit, b.bits::bit)) <= 20"
 )
 def near_edges(spark, sf_dir):
-    return duplicates.near_edges(_media(spark, sf_dir), prefix=1, distance=20)
+    return duplicates.near_edges(_media(spark, sf_dir), prefix=1, distance=20, most=None)
 
 
 @query()
 def near_look(spark, sf_dir):
-    return duplicates.near_look(_media(spark, sf_dir), prefix=1, distance=20).select(*_MEMBER_COLS)
+    return duplicates.near_look(_media(spark, sf_dir), prefix=1, distance=20, most=None).select(*_MEMBER_COLS)
 
 
 @query()
