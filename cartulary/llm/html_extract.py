@@ -7,7 +7,7 @@ every page. Valid classes nest: a class belongs to the innermost class between w
 what stands between their tokens is a slot. Slots are named by the path of elements they stand in. A slot is boilerplate if an element of
 its path says so (nav, footer, aside, form, ..., or a class or id such as menu, cookie, advert, comments) or if its words themselves are in a valid
 class, that is, the template prints them on every page. Of the other slots, those in an article or main element are the text; where a
-template has none, the path prefix under which most of the group's free text stands is taken.
+page has none, all are, but for lines of links only that stand outside the path prefix of most of the page's own free text.
 
 Rows are dealt by host; hosts with more than 1 / ``SHARES`` of all pages (so at most ``SHARES`` hosts) are salted over many tasks. Within
 a task a host's pages follow one another and are taken in groups of ``group_pages`` up to twice as many, so memory does not depend on
@@ -69,6 +69,7 @@ MAIN_NAMES = frozenset({"article", "content", "post", "entry", "story", "main",
 LEX = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+LINK = re.compile(r"/a(?:[.#/]|$)")
 
 
 def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
@@ -211,44 +212,51 @@ def _slot_is_template(slot: list, template: set[str], page: Page) -> bool:
     return bool(words) and all(f"{w}|{slot[0]}" in template for w in words)
 
 
-def _main_path(pages: list[Page], template: set[str]) -> str:
-    """Where no element says what the main text is: the deepest path prefix with 60 % or more of the free text."""
+def _main_path(page: Page, template: set[str]) -> str:
+    """Where no element says what the main text is: the deepest path prefix, ids left out, with 60 % or more of the page's free text."""
     sizes: dict[str, int] = defaultdict(int)
     total = 0
-    for page in pages:
-        for slot in page.slots:
-            if not slot[1] and not _slot_is_template(slot, template, page):
-                size = len(slot[3].strip())
-                total += size
-                parts = slot[0].split("/")
-                for k in range(1, len(parts) + 1):
-                    sizes["/".join(parts[:k])] += size
+    for slot in page.slots:
+        if not slot[1] and not _slot_is_template(slot, template, page):
+            size = len(slot[3].strip())
+            total += size
+            parts = _without_ids(slot[0]).split("/")
+            for k in range(1, len(parts) + 1):
+                sizes["/".join(parts[:k])] += size
     good = [p for p, s in sizes.items() if s >= 0.6 * total and not re.search(r"/(p|li|h[1-6]|a|b|span)[^/]*$", p)]
     return max(good, key=lambda p: (p.count("/"), p), default="")
 
 
+def _without_ids(path: str) -> str:
+    return re.sub(r"#[^/]*", "", path)
+
+
 def extract(sources: list[str], min_support: float = MIN_SUPPORT, min_size: int = MIN_SIZE) -> list[str]:
     """The main texts of pages of one host."""
     pages = [Page(s) for s in sources]
     template, _ = valid_classes(pages, min_support, min_size)
-    bare = [p for p in pages if not any(s[2] and not s[1] and s[3].strip() for s in p.slots)]
-    prefix = _main_path(bare, template) if bare else ""
     out = []
     for page in pages:
         use_main = any(s[2] and not s[1] and s[3].strip() for s in page.slots)
+        prefix = "" if use_main else _main_path(page, template)
         blocks: list[tuple[int, list[str]]] = []
+        aside: set[int] = set()  # lines outside the prefix, as long as they are links only
         for slot in page.slots:
             if slot[1]:
                 continue
             if use_main and not slot[2]:
                 continue
-            if not use_main and (not (slot[0] + "/").startswith(prefix + "/") or _slot_is_template(slot, template, page)):
+            if not use_main and _slot_is_template(slot, template, page):
                 continue
             if blocks and blocks[-1][0] == slot[4]:
                 blocks[-1][1].append(slot[3])
             else:
                 blocks.append((slot[4], [slot[3]]))
-        lines = [" ".join("".join(parts).split()) for _, parts in blocks]
+                if not use_main:
+                    aside.add(slot[4])
+            if slot[3].strip() and ((_without_ids(slot[0]) + "/").startswith(prefix + "/") or not LINK.search(slot[0])):
+                aside.discard(slot[4])
+        lines = [" ".join("".join(parts).split()) for k, parts in blocks if k not in aside]
         out.append("\n".join(x for x in lines if x))
     return out
 
