@@ -6,7 +6,8 @@ an equivalence class. A class is valid if it has ``min_size`` tokens, occurs in
 every page. Valid classes nest: a class belongs to the innermost class between whose tokens all of its occurrences lie. The nested classes are the template;
 what stands between their tokens is a slot. Slots are named by the path of elements they stand in. A slot is boilerplate if an element of
 its path says so (nav, footer, aside, form, ..., or a class or id such as menu, cookie, advert, comments) or if its words themselves are in a valid
-class, that is, the template prints them on every page. Of the other slots, those in an article or main element are the text; where a
+class, that is, the template prints them on every page. Of the other slots, those in an article or main element are the text (there a whole line
+must be the template's to go, and the group must have ``MAIN_PAGES`` different pages that do not share most of their main text); where a
 page has none, all are, but for lines of links only that stand outside the path prefix of most of the page's own free text.
 
 Rows are dealt by host; hosts with more than 1 / ``SHARES`` of all pages (so at most ``SHARES`` hosts) are salted over many tasks. Within
@@ -27,6 +28,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,6 +37,7 @@ GROUP_PAGES = 64
 SHARES = 1024
 MIN_SUPPORT = 0.8
 MIN_SIZE = 3
+MAIN_PAGES = 8
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,7 +207,14 @@ def valid_classes(pages: list[Page], min_support: float, min_size: int) -> tuple
             if len(outer["spans"]) == len(inner["spans"]) and all(a <= c and d <= b for (a, b), (c, d) in zip(outer["spans"], inner["spans"], strict=True)):
                 inner["parent"] = j
                 break
-    return {t for c in found for t in c["tokens"]}, found
+    template = {t for c in found for t in c["tokens"]}
+    # a word that the template prints several times has a multiple of its class's vector
+    once = {c["vector"] for c in found}
+    for vector, tokens in groups.items():
+        k = gcd(*(n for _, n in vector))
+        if k > 1 and tuple((i, n // k) for i, n in vector) in once:
+            template.update(t for t in tokens if t[0] != "<" and orders.get(wanted.get(t), True) is not None)
+    return template, found
 
 
 def _slot_is_template(slot: list, template: set[str], page: Page) -> bool:
@@ -212,6 +222,30 @@ def _slot_is_template(slot: list, template: set[str], page: Page) -> bool:
     return bool(words) and all(f"{w}|{slot[0]}" in template for w in words)
 
 
+def _main_template(pages: list[Page], template: set[str]) -> list[set[int]]:
+    """Of each page the lines within main elements that the template prints.
+
+    Copies of one article share their words as pages of one template do. So a group of fewer than ``MAIN_PAGES`` different pages, or one whose main
+    texts are shared for more than half, says nothing of its main elements.
+    """
+    nothing: list[set[int]] = [set() for _ in pages]
+    if len({tuple(p.tokens) for p in pages}) < MAIN_PAGES:
+        return nothing
+    found, shared, total = [], 0, 0
+    for page in pages:
+        sizes: dict[int, int] = defaultdict(int)
+        own: set[int] = set()
+        for slot in page.slots:
+            if slot[2] and not slot[1] and slot[3].strip():
+                sizes[slot[4]] += len(slot[3].strip())
+                if not _slot_is_template(slot, template, page):
+                    own.add(slot[4])
+        found.append(sizes.keys() - own)
+        shared += sum(sizes[k] for k in found[-1])
+        total += sum(sizes.values())
+    return found if 2 * shared <= total else nothing
+
+
 def _main_path(page: Page, template: set[str]) -> str:
     """Where no element says what the main text is: the deepest path prefix, ids left out, with 60 % or more of the page's free text."""
     sizes: dict[str, int] = defaultdict(int)
@@ -235,8 +269,9 @@ def extract(sources: list[str], min_support: float = MIN_SUPPORT, min_size: int
     """The main texts of pages of one host."""
     pages = [Page(s) for s in sources]
     template, _ = valid_classes(pages, min_support, min_size)
+    printed = _main_template(pages, template)
     out = []
-    for page in pages:
+    for page, said in zip(pages, printed, strict=True):
         use_main = any(s[2] and not s[1] and s[3].strip() for s in page.slots)
         prefix = "" if use_main else _main_path(page, template)
         blocks: list[tuple[int, list[str]]] = []
@@ -244,7 +279,7 @@ def extract(sources: list[str], min_support: float = MIN_SUPPORT, min_size: int
         for slot in page.slots:
             if slot[1]:
                 continue
-            if use_main and not slot[2]:
+            if use_main and (not slot[2] or slot[4] in said):
                 continue
             if not use_main and _slot_is_template(slot, template, page):
                 continue

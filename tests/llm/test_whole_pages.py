@@ -14,5 +14,17 @@ def test_two_templates_of_a_host_keep_their_text():
 
 
 def test_one_long_page_does_not_empty_the_others():
-    pages = [f'<div id="post-{n}"><p>{" ".join(f"t{n}y{k}" for k in range(2000 if n == 17 else 5))}</p></div>' for n in range(15, 20)]
+    pages = [f'<div id="item-{n}"><p>{" ".join(f"t{n}y{k}" for k in range(2000 if n == 17 else 5))}</p></div>' for n in range(15, 20)]
     assert [len(t.split()) for t in H.extract(pages)] == [5, 5, 2000, 5, 5]
+
+
+def test_lines_that_the_template_prints_inside_the_article_go():
+    words = [" ".join(f"w{n}x{k}" for k in range(60)) for n in range(10)]
+    page = '<article><h1>Head {n}</h1><p>{w}</p><div class="zz">Tell the editor what the reader thinks of the story</div><p>By <b>writer {n}</b></p></article>'
+    pages = [page.format(n=n, w=w) for n, w in enumerate(words)]
+    assert H.extract(pages) == [f"Head {n}\n{w}\nBy writer {n}" for n, w in enumerate(words)]
+
+
+def test_copies_of_one_article_keep_their_text():
+    pages = [f"<article><p>{' '.join(f'word{k}' for k in range(80))}</p><p>copy {n}</p></article>" for n in range(10)]
+    assert all(len(t.split()) == 82 for t in H.extract(pages) + H.extract(pages[:1] * 20))
