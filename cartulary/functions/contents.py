@@ -24,10 +24,10 @@ def text_fingerprint(text: Column, least: int = 20) -> Column:
     return F.when(F.length(t) >= least, F.sha2(t, 256))
 
 
-def token_set(text: Column, most: int = 2000) -> Column:
-    """Distinct runs of four or more of a-z and 0-9 among the first ``most``."""
+def token_set(text: Column, most: int | None = None) -> Column:
+    """Distinct runs of four or more of a-z and 0-9; with ``most``, among that many first ones."""
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{4,})"), F.lit(1))
-    return F.array_distinct(F.slice(found, 1, most))
+    return F.array_distinct(found if most is None else F.slice(found, 1, most))
 
 
 def average_hash(grid: Column) -> Column:

@@ -56,9 +56,11 @@ def by_look(files: DataFrame) -> DataFrame:
     return grouped(files, F.col("visual_hash"), "similar_photo", "look")
 
 
-def by_text(files: DataFrame, largest: int = 40_000_000) -> DataFrame:
+def by_text(files: DataFrame, largest: int | None = None) -> DataFrame:
     own = F.coalesce(F.col("content_fingerprint"), contents.text_fingerprint(F.col("content")))
-    key = F.when(F.col("size") == 0, "empty").when(F.col("size") > largest, None).otherwise(own)
+    if largest is not None:
+        own = F.when(F.col("size") <= largest, own)
+    key = F.when(F.col("size") == 0, "empty").otherwise(own)
     return grouped(files, key, "similar_document", "content")
 
 

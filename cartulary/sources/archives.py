@@ -70,8 +70,8 @@ def digests_by_path(files: DataFrame, algo: str = "sha256", limit: int | None =
     return files.select("id", "path").mapInArrow(run, f"id {kind}, digest string")
 
 
-def read_texts(spark, path: str, largest: int = 8 << 20, characters: int = 200_000) -> DataFrame:
-    """path, text of plain text files: their first bytes as UTF-8 without what isn't, cut to ``characters``."""
+def read_texts(spark, path: str, largest: int | None = None, characters: int | None = None) -> DataFrame:
+    """path, text of plain text files: their bytes as UTF-8 without what isn't, whole unless cut to ``largest`` bytes or ``characters``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ import random
 from cartulary.operators import duplicates
 from cartulary.plans import registry
 from cartulary.schema import as_files
+from cartulary.sources import archives
 
 
 def _files(spark, rows):
@@ -35,3 +36,18 @@ def test_near_queries_have_no_list_limit(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert registry.QUERIES["near_edges"](spark, str(tmp_path)).count() > 0
     assert registry.QUERIES["near_look"](spark, str(tmp_path)).count() > 0
+
+
+def test_long_texts_are_compared_whole(spark):
+    word = lambda who, k: f"{who}{k:05d}"
+    same = [word("same", k) for k in range(2500)]
+    texts = [same + [word("mine", k) for k in range(2500)], same + [word("yours", k) for k in range(2500)], [word("front", k) for k in range(2000)] + same * 2 + [word("last", k) for k in range(5500)], [word("last", k) for k in range(5500)]]
+    files = _files(spark, [(i, f"/r/{i}.txt", 50_000_000, float(i), "/r", " ".join(t), None) for i, t in enumerate(texts)] + [(9, "/r/9.txt", 50_000_000, 9.0, "/r", " ".join(texts[0]), None)])
+    found = {(r.a, r.b): r.overlap for r in duplicates.token_overlap(files).collect()}
+    assert found == {(0, 9): 1.0, (2, 3): 1.0}
+    assert sorted(r.id for r in duplicates.by_text(files).collect()) == [0, 9]
+
+
+def test_text_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("ab " * 3_000_000)
+    assert len(archives.read_texts(spark, str(tmp_path)).first().text) == 9_000_000
