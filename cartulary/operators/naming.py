@@ -1,18 +1,20 @@
 """Collision-free names in plan order.
 
-Two names can only meet if they share their folder and family, the name without its ``_<number>`` endings. A family in
-which every row wants the same path, and nothing exists there yet, is numbered by a window. Only mixed families need the
-sequential rule; they are worked off one family at a time, streaming in plan order, with a counter for each stem.
+Rows that want one path are numbered by a window over that path. Only where a numbered name is itself wanted or there already does the order
+of other rows matter; such paths are found by joining the numbered names back. They alone need the sequential rule, which streams their rows
+in plan order, folder and family (the name without its ``_<number>`` endings) by family. It remembers names, not rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartulary.functions import names
+from cartulary.scratch import cut
 
 
 def family(name: Column) -> Column:
@@ -23,44 +25,84 @@ def _numbered(name: Column, k: Column) -> Column:
     return F.when(k == 0, name).otherwise(F.concat(names.stem(name), F.lit("_"), k.cast("string"), names.suffix(name)))
 
 
+def _numbered_path(path: Column, k: Column) -> Column:
+    return F.concat(names.parent(path), F.lit("/"), _numbered(names.basename(path), k))
+
+
+def _base(path: Column) -> Column:
+    """The path whose numbering can make this one, or null."""
+    name = names.basename(path)
+    stem = F.regexp_extract(names.stem(name), r"(?s)^(.+)_[1-9]\d*$", 1)
+    return F.when(stem != "", F.concat(names.parent(path), F.lit("/"), stem, names.suffix(name)))
+
+
+def _wanted(plan: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """destination, n rows that want it, whether it is there, and m names of the plan or there that its numbering could make."""
+    rows = plan.select("destination", F.lit(1).cast("long").alias("n"), F.lit(False).alias("there"))
+    if existing is not None:
+        rows = rows.unionByName(existing.select("destination", F.lit(0).cast("long").alias("n"), F.lit(True).alias("there")))
+    paths = cut(rows.groupBy("destination").agg(F.sum("n").alias("n"), F.max("there").alias("there")), "paths")
+    made = paths.select(_base(F.col("destination")).alias("destination")).where("destination is not null").groupBy("destination").agg(F.count(F.lit(1)).alias("m"))
+    return cut(paths.join(made, "destination", "left").withColumn("m", F.coalesce("m", F.lit(0))), "wanted")
+
+
+def colliding(paths: DataFrame) -> DataFrame:
+    """The destinations of _wanted that a numbered name meets, and those whose numbering meets them.
+
+    n rows pass over m names at most, so numbers up to n + m are tried. A path met may lose its name and number its own rows: the next round's.
+    """
+    # "x._1" comes of "x." as well as being a name with the ending "._1": such families go whole
+    dotted = paths.where(F.endswith("destination", F.lit("."))).select(*_key()).distinct()
+    slow = paths.withColumns(dict(zip(("_folder", "_family"), _key(), strict=True))).join(dotted, ["_folder", "_family"], "left_semi").select("destination")
+    front = paths.where("n >= 2 or n >= 1 and there")
+    while True:
+        made = front.select(F.col("destination").alias("base"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.col("m"))).alias("k"))
+        met = cut(made.select("base", _numbered_path(F.col("base"), F.col("k")).alias("destination")).join(paths, "destination"), "met")
+        if met.isEmpty():
+            return slow.distinct()
+        slow = slow.unionByName(met.select("destination")).unionByName(met.select(F.col("base").alias("destination")))
+        front = met.where("n = 1 and not there").select(*paths.columns)
+
+
+def _key() -> list[Column]:
+    return [names.parent(F.col("destination")).alias("_folder"), family(names.basename(F.col("destination"))).alias("_family")]
+
+
 def unique_names(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """plan (ord, id, destination) with final_destination and renamed. existing: destination, the files already there."""
-    rows = plan.withColumn("_folder", names.parent(F.col("destination"))).withColumn("_name", names.basename(F.col("destination")))
-    rows = rows.withColumn("_family", family(F.col("_name")))
-    facts = rows.groupBy("_folder", "_family").agg((F.min("_name") == F.max("_name")).alias("_one"))
-    if existing is None:
-        judged = facts.withColumn("_there", F.lit(False))
-    else:
-        taken = existing.select(names.parent(F.col("destination")).alias("_folder"), family(names.basename(F.col("destination"))).alias("_family"), names.basename(F.col("destination")).alias("_name"))
-        judged = facts.join(taken.select("_folder", "_family").distinct().withColumn("_t", F.lit(True)), ["_folder", "_family"], "left").withColumn("_there", F.coalesce("_t", F.lit(False))).drop("_t")
-    both = rows.join(judged, ["_folder", "_family"])
-    order = Window.partitionBy("_folder", "_family").orderBy("ord")
+    paths = _wanted(plan, existing)
+    slow = cut(colliding(paths), "colliding")
+    there = paths.where("n > 0 and there").select("destination", F.lit(1).alias("_first"))
+    quick = plan.where("destination is not null").join(slow, "destination", "left_anti").join(there, "destination", "left")
     columns = [*plan.columns, "final_destination"]
-    full = lambda name: F.concat("_folder", F.lit("/"), name)
-    fast = both.where("_one and not _there").withColumn("final_destination", full(_numbered(F.col("_name"), F.row_number().over(order) - 1))).select(*columns)
-    slow = both.where("not _one or _there").select("ord", "_folder", "_family", "_name", F.lit(False).alias("_taken"))
-    if existing is not None:
-        needed = slow.select("_folder", "_family").distinct()
-        slow = slow.unionByName(taken.join(needed, ["_folder", "_family"], "left_semi").select(F.lit(-1).cast("long").alias("ord"), "_folder", "_family", "_name", F.lit(True).alias("_taken")))
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        used = set(frame.loc[frame["_taken"], "_name"])
-        counters: dict[str, int] = {}
-        out = []
-        for row in frame.loc[~frame["_taken"]].sort_values("ord").itertuples(index=False):
-            ord_, folder, name = row[0], row[1], row[3]
-            final = name
-            if final in used:
-                m = re.match(r"^(.+)(\.[^.]+)$", name, re.S)
-                stem, ext = (m[1], m[2]) if m else (name, "")
-                k = counters.get(name, 0) + 1
-                while f"{stem}_{k}{ext}" in used:
-                    k += 1
-                counters[name], final = k, f"{stem}_{k}{ext}"
-            used.add(final)
-            out.append((ord_, f"{folder}/{final}"))
-        return pd.DataFrame(out, columns=["ord", "final_destination"])
-
-    done = slow.groupBy("_folder", "_family").applyInPandas(assign, "ord long, final_destination string")
+    k = F.row_number().over(Window.partitionBy("destination").orderBy("ord")) - 1 + F.coalesce("_first", F.lit(0))
+    fast = quick.withColumn("final_destination", _numbered_path(F.col("destination"), k)).select(*columns)
+    rows = plan.join(slow, "destination", "left_semi").select("ord", *_key(), names.basename(F.col("destination")).alias("_name"), F.lit(False).alias("_taken"))
+    taken = paths.where("there").join(slow, "destination", "left_semi")
+    rows = rows.unionByName(taken.select(F.lit(None).cast("long").alias("ord"), *_key(), names.basename(F.col("destination")).alias("_name"), F.lit(True).alias("_taken")))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, counters = None, set(), {}
+        for batch in batches:
+            ords, finals = [], []
+            for ord_, folder, kin, name, there in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (folder, kin) != key:
+                    key, used, counters = (folder, kin), set(), {}
+                final = name
+                if not there and name in used:
+                    m = re.match(r"^(.+)(\.[^.]+)$", name, re.S)
+                    stem, ext = (m[1], m[2]) if m else (name, "")
+                    k = counters.get(name, 0) + 1
+                    while f"{stem}_{k}{ext}" in used:
+                        k += 1
+                    counters[name], final = k, f"{stem}_{k}{ext}"
+                used.add(final)
+                if not there:
+                    ords.append(ord_)
+                    finals.append(f"{folder}/{final}")
+            yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(finals, pa.string())], names=["ord", "final_destination"])
+
+    order = ["_folder", "_family", F.desc("_taken"), "ord"]
+    done = rows.repartition("_folder", "_family").sortWithinPartitions(*order).mapInArrow(assign, "ord long, final_destination string")
     mixed = plan.join(done, "ord").select(*columns)
     return fast.unionByName(mixed).withColumn("renamed", F.col("final_destination") != F.col("destination"))

@@ -2,7 +2,7 @@
 
 import random
 
-from cartulary.operators import duplicates
+from cartulary.operators import duplicates, naming
 from cartulary.plans import registry
 from cartulary.schema import as_files
 from cartulary.sources import archives
@@ -51,3 +51,13 @@ def test_long_texts_are_compared_whole(spark):
 def test_text_files_are_read_whole(spark, tmp_path):
     (tmp_path / "a.txt").write_text("ab " * 3_000_000)
     assert len(archives.read_texts(spark, str(tmp_path)).first().text) == 9_000_000
+
+
+def test_only_colliding_names_are_sequential(spark):
+    roll = [f"/d/IMG_{k}.jpg" for k in range(1, 41)] * 3 + ["/d/IMG.jpg", "/d/a.jpg", "/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg", "/d/a_7.jpg"]
+    plan = spark.createDataFrame([(i, i, d) for i, d in enumerate(roll)], "ord long, id long, destination string")
+    paths = naming._wanted(plan, None)
+    assert {r.destination for r in naming.colliding(paths).collect()} == {"/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg"}
+    got = {r.ord: r.final_destination for r in naming.unique_names(plan).collect()}
+    assert got[40] == "/d/IMG_1_1.jpg" and got[80] == "/d/IMG_1_2.jpg" and len(set(got.values())) == len(roll)
+    assert [got[i] for i in range(121, 126)] == ["/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg", "/d/a_1_1_1.jpg", "/d/a_7.jpg"]
