@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def worker_tables(name: Hashable, build: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks, built when first asked for. A worker outlives a stage, so only the operator
+    that asked last keeps its tables: those of the stages before go. The tables hold no cycles, so few collections are needed."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        gc.set_threshold(1_000_000, 50, 100)
+        _kept[name] = build()
+    return _kept[name]
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]], schema: str, key: str, text: str, binary: bool = False, carry: list[str] | None = None) -> DataFrame:
     """For every row: key column (as ``doc_id``), then the columns that the function gives for its text.
 
