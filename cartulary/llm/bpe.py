@@ -3,14 +3,17 @@
 Encoding. The encoding of a prefix determines its last token, and the encoding of the prefix before that token is what precedes
 it. So the last token at a position is the one vocabulary suffix that stays apart from the last token where it starts, under
 the merges. A later token can only start at a live position: one from which the bytes read so far are the beginning of a vocabulary entry. A
-state of the transducer holds, for each live position, the tokens that lead to it. Reading a byte adds a position; tokens that
-all live positions share cannot change any more and are emitted, so the lookahead is bounded by the longest entry. States and
-transitions are made when first met and kept (lazy determinisation); they don't depend on where in a text they are met, so few are needed.
+state of the transducer holds the bytes since its first live position and, for each live position, the token that ends there. It forgets what cannot
+matter: a position goes when no entry that begins with the bytes since then would stay apart from the token that ends there, and tokens
+that stay apart from the same entries are one (both where ``EXTENSIONS`` entries or fewer begin so). Hence natural text soon meets
+no new states. States and transitions are made when first met and kept (lazy determinisation), and made anew when ``STATES`` of them
+are held, which bounds memory and changes no result. Reading a byte yields the last token of the prefix; a token is emitted once the
+paths of all live positions run through it, so the lookahead is bounded by the longest entry.
 
 The pre-tokenizer's matches are encoded one by one; results of short pieces of text are kept in a bounded table, as natural text repeats its words.
 
-Decoding streams the ids' bytes through an incremental UTF-8 state machine whose steps are kept by (state, id); it reports whether the
-whole stream is valid UTF-8.
+Decoding streams the ids' bytes through an incremental UTF-8 state machine; it reports whether the whole stream is valid UTF-8. A token that is
+valid by itself leaves the machine where it starts, so only the others, and what follows them, are stepped through, by (state, id).
 
 Nulls and edges: a null text counts as empty: 0 tokens and the digest of no bytes. Repeated rows give repeated results; a null doc_id is
 returned as null; extra columns are ignored. Surrogates cannot occur in Spark strings.
@@ -19,49 +22,63 @@ returned as null; extra columns are ignored. Surrogates cannot occur in Spark st
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from cartulary.llm.batches import map_texts
+from cartulary.llm.batches import map_texts, worker_tables
 
 #: White space as the pattern's dialect has it, then what may stand between: no match crosses from one chunk to the next.
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 CACHED_CHARS = 48
-CACHED_PIECES = 500_000
-STATES = 100_000
+CACHED_PIECES = 250_000
+STATES = 300_000
+PAIRS = 300_000
+EXTENSIONS = 64
+BLOCK = 1024
 NEVER = 1 << 62
 ONE = [bytes((b,)) for b in range(256)]
 
-
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+class State(dict):
+    """Transitions by byte: (state, id of the prefix's last token, its length)."""
+
+    __slots__ = ("live", "owner", "since")
+
+    def __init__(self, owner: Transducer, since: bytes, live: tuple):
+        self.owner, self.since, self.live = owner, since, live
+
+    def __missing__(self, byte: int) -> tuple:
+        found = self[byte] = self.owner.step(self.since, self.live, byte)
+        return found
+
+
 class Transducer:
     """Byte pair encoding of byte strings by a rank table."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.entries = sorted(ranks)
         self.beginnings = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.longest = max(map(len, ranks), default=1)
         self.pair: dict[tuple[bytes, bytes], bool] = {}
         self.spine: dict[bytes, tuple[list, list]] = {}
         self.reset()
 
     def reset(self) -> None:
-        #: A state: the bytes since its first live position, and (live position, tokens that lead to it) in order of position. The
-        #: first token of each is the last one emitted, empty at the beginning.
-        start = (b"", ((0, (b"",)),))
-        self.states = [start]
-        self.numbers = {start: 0}
-        #: state << 8 | byte -> (state, ids that are now certain)
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: since the first live position: the bytes, and (position, token that ends there) in order; at the beginning that token is empty.
+        self.start = State(self, b"", ((0, b""),))
+        self.states = {(b"", ((0, b""),)): self.start}
+        self.classes: dict[tuple[bytes, bytes], bytes | None] = {}
+        self.names: dict[tuple, bytes] = {}
 
     def merged(self, data: bytes, least: int = 1) -> list[bytes]:
         """The defining procedure: join the neighbouring parts of lowest rank, leftmost first, until none can be joined or ``least`` are left."""
@@ -90,103 +107,114 @@ class Transducer:
             self.spine[token] = found
         return found
 
-    def stable(self, left: bytes, right: bytes) -> bool:
+    def apart(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens stay apart when their joined bytes are encoded.
 
         The parts at the border grow along left's right spine and right's left spine in the order of rank; the tokens stay
         apart unless at some time the two parts can be joined before either grows (a growth to the left goes first at equal rank).
         """
-        key = (left, right)
-        found = self.pair.get(key)
+        ours, theirs, i, j, ranks = self._spines(left)[1], self._spines(right)[0], 0, 0, self.ranks
+        while True:
+            up_left = ours[i + 1][1] if i + 1 < len(ours) else NEVER
+            up_right = theirs[j + 1][1] if j + 1 < len(theirs) else NEVER
+            joined = ranks.get(ours[i][0] + theirs[j][0], NEVER)
+            if joined < up_left and joined <= up_right and joined != NEVER:
+                return False
+            if up_left == up_right == NEVER:
+                return True
+            if up_left <= up_right:
+                i += 1
+            else:
+                j += 1
+
+    def stable(self, left: bytes, right: bytes) -> bool:
+        found = self.pair.get((left, right))
         if found is None:
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) >= PAIRS:
                 self.pair.clear()
-            ours, theirs, i, j = self._spines(left)[1], self._spines(right)[0], 0, 0
-            found = True
-            while True:
-                up_left = ours[i + 1][1] if i + 1 < len(ours) else NEVER
-                up_right = theirs[j + 1][1] if j + 1 < len(theirs) else NEVER
-                joined = self.ranks.get(ours[i][0] + theirs[j][0], NEVER)
-                if joined < up_left and joined <= up_right and joined != NEVER:
-                    found = False
-                    break
-                if up_left == up_right == NEVER:
-                    break
-                if up_left <= up_right:
-                    i += 1
-                else:
-                    j += 1
-            self.pair[key] = found
+            found = self.pair[left, right] = self.apart(left, right)
         return found
 
-    def advance(self, since: bytes, live: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """Read a byte in a situation: the new situation and the ids that are now certain."""
+    def lasting(self, last: bytes, rest: bytes) -> bytes | None:
+        """The token that stands for all that stay apart from the same entries beginning with ``rest`` as ``last`` does; None if there is no such entry."""
+        key = (last, rest)
+        if key not in self.classes:
+            lo = bisect_right(self.entries, rest)
+            hi = bisect_left(self.entries, rest + b"\xff" * self.longest, lo)  # what begins with rest sorts before that
+            if hi - lo > EXTENSIONS:
+                found = last
+            else:
+                sign = tuple([k for k in range(lo, hi) if self.apart(last, self.entries[k])])
+                found = self.names.setdefault((rest, sign), last) if sign else None
+            self.classes[key] = found
+        return self.classes[key]
+
+    def step(self, since: bytes, live: tuple, byte: int) -> tuple[State, int, int]:
+        """Read a byte in a state: the next state, the id of the last token of what is read by then, and its length."""
         data = since + ONE[byte]
-        ranks, beginnings, stable, here, paths = self.ranks, self.beginnings, self.stable, None, []
-        for pos, path in live:  # from the longest token down
+        ranks, here, after = self.ranks, None, []
+        for pos, last in live:  # from the longest token down
             token = data[pos:]
-            if here is None and token in ranks and (not path[-1] or stable(path[-1], token)):
-                here = (*path, token)
-            if token in beginnings:
-                paths.append((pos, path))
+            if here is None and token in ranks and (not last or self.stable(last, token)):
+                here = token
+            if token in self.beginnings:
+                last = self.lasting(last, token) if last else last
+                if last is not None:
+                    after.append((pos, last))
         if here is None:
             raise ValueError("the rank table lacks a single byte")
-        paths.append((len(data), here))
-        lo, emitted = paths[0][0], ()
-        if len(paths[0][1]) > 1:
-            every = [path for _, path in paths]
-            least, most = min(every), max(every)  # what these two share, all share
-            same = next((k for k, t in enumerate(least) if k == len(most) or t != most[k]), len(least))
-            if same > 1:
-                emitted = tuple([ranks[t] for t in least[1:same]])
-                paths = [(pos, path[same - 1 :]) for pos, path in paths]
-        return (data[lo:], tuple([(pos - lo, path) for pos, path in paths] if lo else paths)), emitted
-
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Make the transition for a byte, and its state if that is new."""
-        found, emitted = self.advance(*self.states[state], byte)
-        number = self.numbers.get(found)
-        if number is None:
-            number = self.numbers[found] = len(self.states)
-            self.states.append(found)
-        got = self.next[state << 8 | byte] = (number, emitted)
-        return got
-
-    def end(self, state: int, byte: int) -> list[int]:
-        """The tokens still open after the input's last byte. No state is made for the end of a word, which most new words have to themselves."""
-        got = self.next.get(state << 8 | byte)
-        if got is not None:
-            path = self.states[got[0]][1][-1][1]
-            return [*got[1], *[self.ranks[t] for t in path[1:]]]
-        return self._last(*self.states[state], byte)
-
-    def _last(self, since: bytes, live: tuple, byte: int) -> list[int]:
-        data = since + ONE[byte]
-        for pos, path in live:
-            token = data[pos:]
-            if token in self.ranks and (not path[-1] or self.stable(path[-1], token)):
-                return [self.ranks[t] for t in (*path[1:], token)]
-        raise ValueError("the rank table lacks a single byte")
+        after.append((len(data), here))
+        lo = after[0][0]
+        key = (data[lo:], tuple([(pos - lo, last) for pos, last in after]))
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) >= STATES:
+                self.reset()
+            found = self.states[key] = State(self, *key)
+        return found, ranks[here], len(here)
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        state, out, known = 0, [], self.next.get
-        for i, byte in enumerate(data[:-1]):
-            got = known(state << 8 | byte)
-            if got is None:
-                if len(self.states) >= STATES:  # the usual states are there by now: the rest of this input goes without new ones
-                    found = self.states[state]
-                    for late in data[i:-1]:
-                        found, emitted = self.advance(*found, late)
-                        out.extend(emitted)
-                    return out + self._last(*found, data[-1])
-                got = self.step(state, byte)
-            state, emitted = got
-            if emitted:
-                out.extend(emitted)
-        return out + self.end(state, data[-1])
+        state, read = self.start, []
+        if len(data) <= BLOCK:
+            for byte in data:
+                got = state[byte]
+                read.append(got)
+                state = got[0]
+            return self._back(read, 0, len(read))
+        out = []
+        for byte in data:
+            got = state[byte]
+            read.append(got)
+            state = got[0]
+            if len(read) >= BLOCK:
+                sure = self._certain(state, read)
+                out += self._back(read, 0, sure)
+                del read[:sure]
+        return out + self._back(read, 0, len(read))
+
+    @staticmethod
+    def _back(read: list, lo: int, hi: int) -> list[int]:
+        """The tokens from lo to hi, both of which are ends of tokens on one path."""
+        out = []
+        while hi > lo:
+            _, token, size = read[hi - 1]
+            out.append(token)
+            hi -= size
+        out.reverse()
+        return out
+
+    @staticmethod
+    def _certain(state: State, read: list) -> int:
+        """The last place that the paths of all live positions run through."""
+        ends = {len(read) - len(state.since) + pos for pos, _ in state.live}
+        while len(ends) > 1:
+            last = max(ends)
+            ends.remove(last)
+            ends.add(last - read[last - 1][2])
+        return ends.pop()
 
 
 class Utf8Machine:
@@ -197,6 +225,7 @@ class Utf8Machine:
     def __init__(self, vocabulary: list[bytes]):
         self.vocabulary = vocabulary
         self.steps: dict[tuple, tuple | None] = {}
+        self.odd = np.array([self.advance(self.START, v) != self.START for v in vocabulary])
 
     @staticmethod
     def advance(state: tuple | None, data: bytes) -> tuple | None:
@@ -218,13 +247,23 @@ class Utf8Machine:
                 state = None
         return state
 
-    def run(self, ids) -> bool:
-        state, steps, start = self.START, self.steps, self.START
-        for i in ids:
-            key = (state, i)
-            if key not in steps:
-                steps[key] = self.advance(state, self.vocabulary[i])
-            state = steps[key]
+    def run(self, ids: np.ndarray) -> bool:
+        state, steps, start, done = self.START, self.steps, self.START, 0
+        for at in np.flatnonzero(self.odd[ids]).tolist():
+            if at < done:
+                continue
+            # until the machine is back at its start
+            while at < len(ids):
+                key = (state, int(ids[at]))
+                if key not in steps:
+                    steps[key] = self.advance(state, self.vocabulary[key[1]])
+                state = steps[key]
+                at += 1
+                if state == start or state is None:
+                    break
+            if state is None:
+                return False
+            done = at
         return state == start
 
 
@@ -270,30 +309,23 @@ class Codec:
             del kept[chunk]
         return packed
 
-    def decode(self, ids: list[int]) -> tuple[bytes, bool]:
+    def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
         """The bytes, and whether they are UTF-8."""
-        return b"".join(map(self.vocabulary.__getitem__, ids)), self.utf8.run(ids)
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist())), self.utf8.run(ids)
 
     def digest(self, text: str | None) -> tuple[int, str, str, bool]:
         packed = self.encode(text or "")
-        data, valid = self.decode(np.frombuffer(packed, dtype="<u4").tolist())
+        data, valid = self.decode(np.frombuffer(packed, dtype="<u4"))
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(data).hexdigest(), valid
 
 
-@lru_cache(maxsize=2)
-def _codec(raw: bytes, pattern: str) -> Codec:
-    """One codec for all tasks of a Python worker, so what it has compiled and kept is used again. Its tables hold no cycles: few collections are needed."""
-    gc.set_threshold(1_000_000, 50, 100)
-    return Codec(raw, pattern)
-
-
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8. The rank file, of fixed size, is read once and broadcast."""
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        codec = _codec(ranks.value, pattern)
+        codec = worker_tables(("bpe", pattern, ranks_path), lambda: Codec(ranks.value, pattern))
         return lambda texts: list(zip(*map(codec.digest, texts))) if texts else [[] for _ in range(4)]
 
     return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean", id_col, text_col)
