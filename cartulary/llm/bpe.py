@@ -36,7 +36,7 @@ from cartulary.llm.batches import map_texts, worker_tables
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 CACHED_CHARS = 48
-CACHED_PIECES = 250_000
+CACHED_PIECES = 400_000
 STATES = 300_000
 PAIRS = 300_000
 EXTENSIONS = 64
@@ -44,6 +44,7 @@ BLOCK = 1024
 NEVER = 1 << 62
 ONE = [bytes((b,)) for b in range(256)]
 
+
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
