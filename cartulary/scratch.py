@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests, one machine) is a temporary one made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master (tests, one machine) gets a temporary one; a cluster has none that all share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_cartulary_scratch", None)
     if not found:
-        found = getattr(spark, "_cartulary_scratch", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-cartulary-", dir="/tmp")
-        spark._cartulary_scratch = found
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark._cartulary_scratch = tempfile.mkdtemp(prefix="spark-cartulary-", dir="/tmp")
     return found
 
 
@@ -25,10 +24,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cartulary_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files. Spark deletes them when the driver's objects for them are collected, which otherwise may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut() has written. Nothing may read it afterwards."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cartulary_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
