@@ -23,25 +23,33 @@ def worker_tables(name: Hashable, build: Callable[[], object]) -> object:
     return _kept[name]
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]], schema: str, key: str, text: str, binary: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """For every row: key column (as ``doc_id``), then the columns that the function gives for its text.
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
-    make() runs once in each task and returns the function: texts (str or bytes, None for null) to a list for each column of schema.
-    Only the key, the text and the ``carry`` columns leave the scan. The schema lists the new columns, not the key.
-    """
-    source = F.col(text).cast("binary") if binary else F.col(text)
-    rows = docs.select(F.col(key).alias("doc_id"), source.alias("_text"), *[F.col(c) for c in carry or []])
-    kept = ["doc_id", *(carry or [])]
-    out = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + ([schema] if schema else []))
+
+def _mapped(rows: DataFrame, text: str, make: Callable[[], Callable[[list], list[list]]], schema: str, kept: list[str]) -> DataFrame:
+    out = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [schema])
+    names, kinds = zip(*[(n, _TYPES[t]) for n, t in (part.split() for part in schema.split(","))], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            columns = work(batch.column("_text").to_pylist())
-            arrays = [batch.column(c) for c in kept] + [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
+            columns = work(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[*kept, *names])
 
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-    parts = [part.split() for part in schema.split(",")] if schema else []
-    names, kinds = [p[0] for p in parts], [types[p[1]] for p in parts]
     return rows.mapInArrow(run, out)
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]], schema: str, key: str, text: str, binary: bool = False) -> DataFrame:
+    """For every row: key column (as ``doc_id``), then the columns that the function gives for its text.
+
+    make() runs once in each task and returns the function: texts (str or bytes, None for null) to a list for each column of schema. Only the key and the text
+    leave the scan. The schema lists the new columns, not the key.
+    """
+    source = F.col(text).cast("binary") if binary else F.col(text)
+    return _mapped(docs.select(F.col(key).alias("doc_id"), source.alias("_text")), "_text", make, schema, ["doc_id"])
+
+
+def map_rows(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]], schema: str, text: str) -> tuple[DataFrame, list[str]]:
+    """Every whole row, its columns named c0, c1, ... whatever their names were, with the columns that the function gives for its text; and those names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return _mapped(docs.toDF(*names), names[docs.columns.index(text)], make, schema, names), names

@@ -23,11 +23,10 @@ are ignored.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cartulary.llm.batches import map_texts
+from cartulary.llm.batches import map_rows, map_texts, worker_tables
 
 SAMPLE_CHARS = 60_000
 SAMPLE_ROWS = 400
@@ -120,11 +119,6 @@ class Languages:
         return counts[0][1], max(0.0, min(1.0, 1.0 - best / other)) if other else 0.0, best / letters
 
 
-@lru_cache(maxsize=2)
-def _languages(samples: tuple[tuple[str, str], ...]) -> Languages:
-    return Languages(samples)
-
-
 def learn(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, sample_chars: int = SAMPLE_CHARS, sample_rows: int = SAMPLE_ROWS, total_chars: int = TOTAL_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, sample text) by name. Bounded: sample_chars a language and total_chars over all, whatever the table's size."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(key_col).isNotNull()).select(
@@ -145,9 +139,10 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, sampl
 
 def _predictor(docs: DataFrame, samples: tuple[tuple[str, str], ...]):
     shared = docs.sparkSession.sparkContext.broadcast(samples)
+    samples_id = hash(samples)
 
     def make():
-        model = _languages(shared.value)
+        model = worker_tables(("languages", samples_id), lambda: Languages(shared.value))
         return lambda texts: list(zip(*map(model.predict, texts))) if texts else [[] for _ in range(3)]
 
     return make
@@ -173,10 +168,10 @@ STAGE_SCORE, STAGE_PHRASES = 0.02, 0.6
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows whose text is in a learned language, columns unchanged."""
+    """Pipeline stage: rows whose text is in a learned language, columns unchanged; all rows where nothing could be learned."""
     samples = learn(_training(docs), "text", "lang", "doc_id")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.withColumn("_whole", F.col("text"))
-    found = map_texts(rows, _predictor(docs, samples), "_lang string, _score double, _phrases double", "doc_id", "text", carry=["_whole", *others])
-    kept = found.where((F.col("_lang") != "und") & (F.col("_score") >= STAGE_SCORE) & (F.col("_phrases") <= STAGE_PHRASES))
-    return kept.withColumn("text", F.col("_whole")).select(*docs.columns)
+    if not samples:
+        return docs
+    found, names = map_rows(docs, _predictor(docs, samples), "lang_pred string, score double, phrases double", "text")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= STAGE_SCORE) & (F.col("phrases") <= STAGE_PHRASES))
+    return kept.select(*names).toDF(*docs.columns)

@@ -18,11 +18,10 @@ returned as null; extra columns are ignored; long texts take memory in proportio
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from cartulary.llm.batches import map_texts
+from cartulary.llm.batches import map_texts, worker_tables
 
 #: The contract's phrases and labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -223,7 +222,6 @@ class Scanner:
         return out
 
 
-@lru_cache(maxsize=1)
 def _scanner(min_match: int, max_gap: int, min_cover: float) -> Scanner:
     return Scanner(PHRASES, TEMPLATES, min_match, max_gap, min_cover)
 
@@ -233,7 +231,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
     def make():
-        scanner = _scanner(min_match, max_gap, min_cover)
+        scanner = worker_tables(("licences", min_match, max_gap, min_cover), lambda: _scanner(min_match, max_gap, min_cover))
         return lambda texts: list(zip(*[scanner.scan(t or b"") for t in texts])) if texts else [[] for _ in range(8)]
 
     return map_texts(docs, make, schema, id_col, text_col, binary=True)

@@ -110,8 +110,8 @@ def cell_counts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         labels.where("quality = 1").select(F.col("doc_id").alias("_t")).distinct().orderBy(F.xxhash64("_t"), "_t").limit(max_trusted)
         .withColumn("_good", F.lit(1).cast("long"))
     )
-    flagged = docs.join(F.broadcast(ids), docs[id_col] == F.col("_t"), "left")
-    worded = flagged.select(words_of(docs[text_col]).alias("_w"), F.coalesce("_good", F.lit(0).cast("long")).alias("_good"))
+    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_t"), "left")
+    worded = flagged.select(words_of(F.col("_text")).alias("_w"), F.coalesce("_good", F.lit(0).cast("long")).alias("_good"))
     pairs = worded.select(F.inline(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, 2**31 - 1).alias("b"))), "_good")
     cells = pairs.select(F.explode(F.array(_cell(F.col("a"), None, buckets), F.when(F.col("b").isNotNull(), _cell(F.col("a"), F.col("b"), buckets)))).alias("cell"), "_good").where("cell is not null")
     return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").alias("target"))
@@ -159,7 +159,7 @@ def quality_rules(
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs that the rules keep, in docs' own columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = judged(docs, labels, F.struct(*docs.columns), "doc_id", "text", BUCKETS, THRESHOLD, ALPHA, MAX_TRUSTED)
+    found = judged(docs, labels, F.struct(*[docs[f"`{c}`"] for c in docs.columns]), "doc_id", "text", BUCKETS, THRESHOLD, ALPHA, MAX_TRUSTED)
     # the row number keeps the filter where it is: pushed down, it would repeat the array expressions inside one another
     return found.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0").select("_row.*")
 

@@ -30,9 +30,9 @@ import html
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from cartulary.llm.batches import map_texts
+from cartulary.llm.batches import map_rows, map_texts
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -234,9 +234,6 @@ def masked(text: str | None) -> str | None:
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row of docs, secrets masked in its text and n_chars counted again."""
-    from pyspark.sql import functions as F
-
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = map_texts(docs, lambda: lambda texts: [[masked(t) for t in texts]], "text string", "doc_id", "text", carry=others)
-    sized = done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
-    return sized.select(*docs.columns)
+    done, names = map_rows(docs, lambda: lambda texts: [[masked(t) for t in texts]], "new string", "text")
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return done.select(*[new.get(c, F.col(n)).alias(n) for c, n in zip(docs.columns, names, strict=True)]).toDF(*docs.columns)

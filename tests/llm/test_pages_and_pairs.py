@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+import pytest
+from hypothesis import given, settings, strategies as st
+
 from cartulary.llm import html_extract as H, jaccard_join as J
 
 # ---- pages ----
@@ -91,7 +94,8 @@ def test_components_of_documents(spark, sf_dir, texts):
     assert _sorted(got) == _sorted(_brute(list(texts.items())))
 
 
-def test_near_copies_with_leaders(spark, monkeypatch):
+@pytest.mark.parametrize("cross", [0, 1000])
+def test_near_copies_with_leaders(spark, monkeypatch, cross):
     """A large group of near copies and a passage that many texts share, with the leaders' rounds forced."""
     import random
 
@@ -108,8 +112,9 @@ def test_near_copies_with_leaders(spark, monkeypatch):
     for i in range(60, 110):
         rows.append((i, " ".join([rng.choice(words) for _ in range(rng.randint(2, 40))] + passage)))
     rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (None, "one two"), (204, rows[3][1]), (204, rows[3][1])]
-    monkeypatch.setattr(J, "CROSS_PER_ROW", 0)
-    monkeypatch.setattr(J, "FIRST_CROSS_PER_ROW", 0)
+    monkeypatch.setattr(J, "CROSS_PER_ROW", cross)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(J, "HUB", 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()]
     want = [(k, n, c if n else k) for k, n, c in _brute(rows)]
@@ -122,9 +127,77 @@ def test_pair_edges(spark, odd_docs, no_docs):
     assert J.jaccard_components(no_docs).count() == 0
 
 
+@given(st.lists(st.text(alphabet="aB \n\t\x0b\u00e9\u65e5", max_size=60), max_size=8), st.integers(1, 40))
+@settings(max_examples=200, deadline=None)
+def test_shingle_sets(texts, block):
+    """Equal sets of word windows have equal hashes, others don't."""
+    was, J.BLOCK_BYTES = J.BLOCK_BYTES, block
+    try:
+        got = [tuple(h.tolist()) for h in J.shingle_sets([t.encode() for t in texts])]
+    finally:
+        J.BLOCK_BYTES = was
+    want = []
+    for t in texts:
+        w = t.encode().lower().split()
+        want.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+    assert [len(g) for g in got] == [len(w) for w in want]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(set(got[i]) & set(got[j])) == len(want[i] & want[j])
+
+
+def test_long_words():
+    a, b = "x" * 40 + "y", "x" * 40 + "z"
+    one, two = J.shingle_sets([a.encode(), b.encode()])
+    assert one.tolist() != two.tolist()
+
+
 # ---- pipeline ----
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _good string, _t string, _text string, _whole string, _lang string, _m string, kept boolean, key string, c0 string, d string, digest string"
+
+
+def _clashing(spark, rows):
+    return spark.createDataFrame([(*r, *["x"] * 6, True, *["x"] * 4) for r in rows], CLASH)
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark, sf_dir):
+    import corpus_pipeline
+
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").limit(40).collect()}
+    rows = [(i, t, "en", "s", len(t)) for i, t in text.items()]
+    rows += [(None, None, None, None, None), (7, "", "en", None, 0), *rows[:3], (None, rows[0][1], None, "s", None)]
+    docs = _clashing(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert out.count() <= len(rows) and out.where("_good <> 'x' or c0 <> 'x'").count() == 0
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
+def test_one_of_each_group_stays(spark, sf_dir):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, words + " end", "a"), (7, " ".join(f"other{k}" for k in range(30)), "b"), (3, words, "c"), (3, words, "c"), (9, words.upper(), "d"), (None, words, "e"), (None, "one two", "f"), (4, None, "g"), (4, None, "g"), (5, " ", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(4)
+    kept = sorted(r.tag for r in J.keep_one_each(spark, docs, sf_dir).collect())
+    assert kept == ["b", "c", "f", "g", "g", "h"]
+
+
+def test_near_duplicate_stage_against_brute_force(spark, sf_dir, texts):
+    rows = list(texts.items())
+    groups = {}
+    for (i, _, c), (_, t) in zip(_brute(rows), rows, strict=True):
+        if (t or "").split():
+            groups.setdefault(c, []).append(i)
+    want = sorted([min(g) for g in groups.values()] + [i for i, t in rows if not (t or "").split()])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = J.keep_one_each(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert got.exceptAll(docs).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
     from cartulary.scratch import cut

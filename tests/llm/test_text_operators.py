@@ -96,11 +96,32 @@ def test_bpe_equals_the_library(codec, text):
     except UnicodeEncodeError:
         return
     packed = ours.encode(text)
-    ids = np.frombuffer(packed, dtype="<u4").tolist()
-    assert ids == theirs.encode_ordinary(text)
+    ids = np.frombuffer(packed, dtype="<u4")
+    assert ids.tolist() == theirs.encode_ordinary(text)
     assert ours.decode(ids) == (text.encode(), True)
 
 
+def test_bpe_when_states_are_made_anew(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 5)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    for text in ("internationalization of unbelievableness", "aaaab" * 50, "\u65e5\u672c\u8a9e" * 40):
+        fresh = bpe.Transducer(codec[0].machine.ranks)
+        assert [t for p in codec[0].pattern.findall(text) for t in fresh.encode(p.encode())] == codec[1].encode_ordinary(text)
+
+
+def test_bpe_query_equals_the_library(codec, spark, sf_dir, texts):
+    for r in bpe.op4_byte_bpe(spark, sf_dir).collect():
+        ids = codec[1].encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() and r.valid_utf8
+
+
+def test_bytes_that_are_not_utf8_are_seen(codec):
+    ranks = codec[0].machine.ranks
+    for raw, good in ((b"\xc3", False), (b"a\xc3\xa9b", True), (b"\xa9", False), (b"\xc3a", False)):
+        assert codec[0].decode(np.array([ranks[raw[k : k + 1]] for k in range(len(raw))])) == (raw, good)
+
+
 def test_bpe_long_runs(codec):
     ours, theirs = codec
     for text in ("a" * 3000, "=-" * 2000, " " * 500 + "x", "\n" * 300, "é" * 700):
@@ -147,7 +168,6 @@ def _check_pieces(pieces, ids):
 
 def test_packing(spark, sf_dir, texts):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, x in texts.items()}
     tokens, sequences = _check_pieces(packing.op6_pack_windows(spark, sf_dir).collect(), ids)
     assert tokens >= 0.97 * sequences * packing.WINDOW
@@ -166,16 +186,27 @@ def test_packing_edges(odd_docs, no_docs):
     assert packing.pack(no_docs, P.path("word_bpe_49k.json")).count() == 0
 
 
-@given(st.text(max_size=80))
-@settings(max_examples=200, deadline=None)
-def test_word_tokens_equal_whole_texts(text):
+@pytest.fixture(scope="module")
+def words():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.WordTokenizer(f.read())
+
+
+def test_special_tokens_as_the_library(words, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["hello <|startoftext|> world", "<|endoftext|>x", "a < | b", "don't 'S 3\xb2\xbd \xc0\xc9 \xdf\xd7\xf7 x\x1cy", "", " \n ", "x y\x85z", "\u03a3\u03c2 \u0130 e\u0301 \u65e5\u672c"] * 2
+    assert [e.tolist() for e in words.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@given(st.one_of(st.text(max_size=80), st.text(alphabet="aB'sStTrReEvVmMlLdD 0\xb2\xbd\xdf\xc9\xd7\xaa\t.\xad\xa1\xff", max_size=60)))
+@settings(max_examples=400, deadline=None)
+def test_word_tokens_equal_whole_texts(words, text):
     try:
         text.encode()
     except UnicodeEncodeError:
         return
-    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        tokenizer = packing._tokenizer(f.read())
-    assert np.frombuffer(tokenizer.encode([text])[0], dtype="<u4").tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.encode([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # ---- language ----
