@@ -41,7 +41,7 @@ from cartulary.scratch import cut, drop
 
 WORDS = 5
 CHUNK_BITS = 16
-LEAST_BITS, MOST_BITS = 18, 25
+LEAST_BITS, MOST_BITS = 18, 26
 FRAGMENTS = 4
 BUCKET = 1 << 19
 ROUNDS = 3
@@ -206,7 +206,7 @@ def _nodes(rows: DataFrame, bits: int) -> DataFrame:
 def _frequent(table: DataFrame, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit maps of the sketch cells that stand out, and that stand out by far: 2 ** bits bits each."""
     mean = total / (1 << bits)
-    limit = mean + max(16.0, 6.0 * mean**0.5)
+    limit = mean + max(8.0, 6.0 * mean**0.5)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's rows follow one another."""
@@ -292,7 +292,7 @@ def _postings(rows: DataFrame, maps, bits: int) -> DataFrame:
                 first, rare = prefix(h, both)
                 found.append((first, key, len(h), rare))
                 size += len(first)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield made(found)
                     found, size = [], 0
         if found:
@@ -375,8 +375,16 @@ def _same_size(na: Column, nb: Column) -> Column:
     return 4 * F.least(na, nb) >= 3 * F.greatest(na, nb)
 
 
+def _early(n: Column, pos: Column, other: Column) -> Column:
+    """Whether an n-gram at this place can be the first that the pair has in common: it and all that follow must reach 3 / 7 of both sizes' sum."""
+    return 7 * (n.cast("long") - pos + 1) >= 3 * (n.cast("long") + other)
+
+
 def _bounded(shared: DataFrame) -> DataFrame:
-    """Of rows (a, b, na, nb, pa, pb), one for each common prefix n-gram, the pairs whose prefix overlap leaves a link possible."""
+    """Of rows (a, b, na, nb, pa, pb), one for each common n-gram at an early place of both, the pairs whose overlap there leaves a link possible.
+
+    What a pair has in common before such an n-gram is at early places too, so it is counted.
+    """
     counted = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     return counted.where(_possible(bound, F.col("na"), F.col("nb"))).select("a", "b")
@@ -445,19 +453,21 @@ def _star(members: DataFrame, k: int) -> DataFrame:
     own: the middle of the group leads in round 0. Later rounds draw other leaders.
     """
     rank = [F.col("pos") if k == 0 else F.lit(0), F.xxhash64("key", F.lit(k))]
-    leaders = members.groupBy("h").agg(F.min(F.struct(rank[0].alias("p"), rank[1].alias("r"), "key", "n", "comp")).alias("l"))
-    leaders = leaders.select("h", F.col("l.key").alias("a"), F.col("l.n").alias("_n"), F.col("l.comp").alias("_c"))
-    met = members.join(leaders, "h").where((F.col("comp") != F.col("_c")) & _same_size(F.col("n"), F.col("_n")))
+    leaders = members.groupBy("h").agg(F.min(F.struct(rank[0].alias("p"), rank[1].alias("r"), "key", "n", "comp", "pos")).alias("l"))
+    leaders = leaders.select("h", F.col("l.key").alias("a"), F.col("l.n").alias("_n"), F.col("l.comp").alias("_c"), F.col("l.pos").alias("_p"))
+    early = _early(F.col("n"), F.col("pos"), F.col("_n")) & _early(F.col("_n"), F.col("_p"), F.col("n"))
+    met = members.join(leaders, "h").where((F.col("comp") != F.col("_c")) & _same_size(F.col("n"), F.col("_n")) & early)
     return met.select("a", F.col("key").alias("b")).distinct()
 
 
 def _hopeful(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs of _star that can link, and all of leaders with HUB pairs or more: their distances are of use later."""
     pairs = cut(pairs, "star")
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HUB).select("a")
+    hubs = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HUB).select("a"), "hubs")
     bounded = _bounded(_with_prefix(pairs.join(hubs, "a", "left_anti"), members))
     out = cut(pairs.join(hubs, "a", "left_semi").select("a", "b").unionByName(bounded), "pairs")
     drop(pairs)
+    drop(hubs)
     return out
 
 
@@ -465,7 +475,7 @@ def _with_prefix(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The common prefix n-grams of the pairs, as _bounded takes them."""
     one = members.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     two = members.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    return pairs.join(one, "a").join(two, ["b", "h"])
+    return pairs.join(one, "a").join(two, ["b", "h"]).where(_early(F.col("na"), F.col("pa"), F.col("nb")) & _early(F.col("nb"), F.col("pb"), F.col("na")))
 
 
 def _all_cross(members: DataFrame, met: list[DataFrame]) -> DataFrame:
@@ -473,7 +483,7 @@ def _all_cross(members: DataFrame, met: list[DataFrame]) -> DataFrame:
     columns = ["comp"]
     for k, pairs in enumerate(met):
         # a node's leader is the one of most pairs; leaders are at no distance from themselves
-        size = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+        size = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), "hubs")
         own = size.select("a", F.col("a").alias("key"), F.lit(1.0).alias("share"), "_n").unionByName(pairs.join(size, "a").select("a", F.col("b").alias("key"), "share", "_n"))
         best = own.groupBy("key").agg(F.max(F.struct("_n", "a", "share")).alias("l")).select("key", F.col("l.a").alias(f"ref{k}"), F.col("l.share").alias(f"share{k}"))
         members = members.join(best, "key", "left")
@@ -481,6 +491,7 @@ def _all_cross(members: DataFrame, met: list[DataFrame]) -> DataFrame:
     one = members.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in columns])
     two = members.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in columns])
     wanted = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _same_size(F.col("na"), F.col("nb"))
+    wanted &= _early(F.col("na"), F.col("pa"), F.col("nb")) & _early(F.col("nb"), F.col("pb"), F.col("na"))
     for k in range(len(met)):
         apart = (F.col(f"ref{k}_a") == F.col(f"ref{k}_b")) & (F.abs(F.col(f"share{k}_a") - F.col(f"share{k}_b")) > 0.25 + 1e-9)
         known = (F.col(f"ref{k}_a") == F.col("b")) | (F.col(f"ref{k}_b") == F.col("a"))
