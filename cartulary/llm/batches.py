@@ -23,6 +23,13 @@ def worker_tables(name: Hashable, build: Callable[[], object]) -> object:
     return _kept[name]
 
 
+def no_tables() -> None:
+    """For an operator that keeps nothing between tasks: those of the stages before go."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 

@@ -37,18 +37,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cartulary.llm.batches import no_tables
 from cartulary.scratch import cut, drop
 
 WORDS = 5
 CHUNK_BITS = 16
-LEAST_BITS, MOST_BITS = 18, 26
+LEAST_BITS, MOST_BITS = 18, 25
 FRAGMENTS = 4
 BUCKET = 1 << 19
 ROUNDS = 3
 CROSS_PER_ROW = 2
 HUB = 8
 SEEN = 200_000
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+ROWS_AT_ONCE = 512
 LONG_WORD = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _BLANK = np.zeros(256, dtype=bool)
@@ -125,6 +127,14 @@ def key_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time; nothing that other stages keep in the worker stays."""
+    no_tables()
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
 class Seen:
     """Whether a key was met lately: what this forgets is removed after the shuffle."""
 
@@ -179,7 +189,7 @@ def _nodes(rows: DataFrame, bits: int) -> DataFrame:
             sketch[cells] = np.minimum(sketch[cells] + times, 255)
             fresh.clear()
 
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("doc_id")
             keys, sizes = [], []
             for h in shingle_sets(batch.column("_text").to_pylist()):
@@ -188,7 +198,7 @@ def _nodes(rows: DataFrame, bits: int) -> DataFrame:
                 if len(h) and seen.new(keys[-1]):
                     fresh.append(h)
                     size += len(h)
-                    if size > 1 << 20:
+                    if size > 1 << 18:
                         count()
                         size = 0
             none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.binary())]
@@ -285,7 +295,7 @@ def _postings(rows: DataFrame, maps, bits: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
         found, size = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for h in shingle_sets(batch.column("_text").to_pylist()):
                 if not len(h) or not seen.new(key := key_of(h)):
                     continue
@@ -352,7 +362,7 @@ def _sets(rows: DataFrame, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, seen_texts, bits = Seen(), Seen(), np.frombuffer(wanted.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in _slices(batches):
             digests = batch.column("digest").to_numpy()
             asked = np.flatnonzero(bits[(digests >> 3) % len(bits)] >> (digests & 7).astype(np.uint8) & 1)
             own = [k for k in asked.tolist() if seen_texts.new(digests[k])]

@@ -32,7 +32,7 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from cartulary.llm.batches import map_rows, map_texts
+from cartulary.llm.batches import map_rows, map_texts, no_tables
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -204,6 +204,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_refused long"
 
     def make():
+        no_tables()
         return lambda texts: list(zip(*[_digest(t, max_layer) for t in texts])) if texts else [[] for _ in range(7)]
 
     return map_texts(docs, make, schema, id_col, text_col)
@@ -234,6 +235,10 @@ def masked(text: str | None) -> str | None:
 
 def mask_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row of docs, secrets masked in its text and n_chars counted again."""
-    done, names = map_rows(docs, lambda: lambda texts: [[masked(t) for t in texts]], "new string", "text")
+    def make():
+        no_tables()
+        return lambda texts: [[masked(t) for t in texts]]
+
+    done, names = map_rows(docs, make, "new string", "text")
     new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return done.select(*[new.get(c, F.col(n)).alias(n) for c, n in zip(docs.columns, names, strict=True)]).toDF(*docs.columns)
