@@ -3,16 +3,24 @@
 Pages of one host are made by templates. Each page becomes a list of tokens: tags, named by their path of elements with class and id, and
 words, named by word and path. Over a group of same-host pages every token has an occurrence vector, its count in each page; tokens with one vector form
 an equivalence class. A class is valid if it has ``min_size`` tokens, occurs in ``min_support`` of the group's pages, and its tokens come in the same order in
-every page. Valid classes nest: a class belongs to the innermost class between whose tokens all of its occurrences lie. The nested classes are the template;
-what stands between their tokens is a slot. Slots are named by the path of elements they stand in. A slot is boilerplate if an element of
-its path says so (nav, footer, aside, form, ..., or a class or id such as menu, cookie, advert, comments) or if its words themselves are in a valid
-class, that is, the template prints them on every page. Of the other slots, those in an article or main element are the text (there a whole line
-must be the template's to go, and the group must have ``MAIN_PAGES`` different pages that do not share most of their main text); where a
-page has none, all are, but for lines of links only that stand outside the path prefix of most of the page's own free text.
+every page. Valid classes must nest: a class belongs to the innermost class in one of whose gaps (between two tokens that follow one another) all of
+its occurrences lie; one that crosses another is dropped. The nested classes are the template; a gap is a slot, and every text stands in one slot: that of
+the innermost class around it.
+
+The slots are judged once for the whole group. What the elements of a slot's template path say (nav, footer, aside, form, ..., or a class or id such as
+menu, cookie, advert, comments) makes it boilerplate; article and main elements make it a main slot. If the template has main slots, a page's text is what stands
+in them; words that are themselves in a valid class are the template's, and a whole line of them goes (there must be ``MAIN_PAGES`` different pages
+that do not share most of their main text). Elements inside a slot that the template does not know are judged by name too. A page without text in any main
+slot, as one of a minority template, is judged by its own elements: by its article or main element, or else all slots that are neither boilerplate nor template,
+but for lines of links only that stand outside the path prefix of most of the page's own free text.
+
+Inside a main element a compound name counts by its last part (``share-price`` is no share bar), or by its first if that is never part of prose
+(``comments-area``), and a header is the article's own.
 
 Rows are dealt by host; hosts with more than 1 / ``SHARES`` of all pages (so at most ``SHARES`` hosts) are salted over many tasks. Within
 a task a host's pages follow one another and are taken in groups of ``group_pages`` up to twice as many, so memory does not depend on
-the host's size. A host with one page has trivial vectors and is judged by its elements alone. Pages without a host form groups likewise.
+the host's size, and paths are numbered, so it grows in proportion to depth. A host with one page has no vectors and is judged by its elements
+alone. Pages without a host form groups likewise.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined in page order by one line feed. A
 ``br`` ends a block, as do block elements.
@@ -26,6 +34,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from math import gcd
@@ -33,6 +42,8 @@ from math import gcd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cartulary.llm.batches import no_tables
+
 GROUP_PAGES = 64
 SHARES = 1024
 MIN_SUPPORT = 0.8
@@ -66,53 +77,103 @@ NOT_NAMES = frozenset(
     "form search pagination pager toolbar widget widgets skip copyright".split()
 )
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
+#: First parts of compound names that mark what is not the article even inside it, and names that inside it are its own.
+NEVER_PROSE = frozenset("comment comments respond disqus cookie cookies ad ads adv advert adverts advertisement newsletter sidebar breadcrumb breadcrumbs popup modal related recommended sponsor sponsored promo".split())
+OWN_NAMES = frozenset({"header", "masthead", "banner", "notice", "notices"})
 MAIN = frozenset({"article", "main"})
 MAIN_NAMES = frozenset({"article", "content", "post", "entry", "story", "main", "body"})
 
 LEX = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-LINK = re.compile(r"/a(?:[.#/]|$)")
 
 
-def _element(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature, whether it marks boilerplate, whether it marks the main text."""
+def _element(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """Signature, whether it marks boilerplate, whether it marks the main text. inside: whether it stands inside a main element."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attributes)} if attributes else {}
-    names = {p.lower() for key in ("class", "id") for p in PARTS.findall(found.get(key, ""))}
+    words = [[p.lower() for p in PARTS.findall(w)] for key in ("class", "id") for w in found.get(key, "").split()]
     role = found.get("role", "").lower()
     sign = name + "".join(f".{c}" for c in found.get("class", "").split()) + (f"#{found['id']}" if found.get("id") else "")
-    bad = name in NOT_TEXT or bool(names & NOT_NAMES) or role in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    good = name in MAIN or role == "main" or bool(names & MAIN_NAMES)
+    if inside:
+        named = any(w and (w[0] in NEVER_PROSE or w[-1] in NOT_NAMES and w[-1] not in OWN_NAMES) for w in words)
+        bad = name in NOT_TEXT and name != "header" or named
+    else:
+        bad = name in NOT_TEXT or any(not NOT_NAMES.isdisjoint(w) for w in words)
+    bad = bad or role in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    good = name in MAIN or role == "main" or any(not MAIN_NAMES.isdisjoint(w) for w in words)
     if name in MAIN or name in ("body", "html"):
         bad = "hidden" in found
     return sign, bad, good
 
 
+class Names:
+    """Numbers for the paths and tokens of a group's pages. A path: its parent's number, its last element, and what its elements say."""
+
+    def __init__(self):
+        self.paths: list[tuple[int, str, bool, bool, bool]] = [(-1, "", False, False, False)]  # parent, sign, boilerplate, main, link
+        self.path_numbers: dict[tuple[int, str], int] = {}
+        #: a token: ("<", path), ("</", path), or (word, path)
+        self.tokens: list[tuple[str, int]] = []
+        self.token_numbers: dict[tuple[str, int], int] = {}
+
+    def path(self, parent: int, name: str, attributes: str) -> int:
+        key = (parent, name + attributes)
+        found = self.path_numbers.get(key)
+        if found is None:
+            _, _, was_bad, was_good, link = self.paths[parent]
+            sign, bad, good = _element(name, attributes, was_good)
+            own = (parent, "\0" + sign)
+            found = self.path_numbers.get(own)
+            if found is None or self.paths[found][2:4] != (was_bad or bad, was_good or good):
+                found = self.path_numbers[own] = len(self.paths)
+                self.paths.append((parent, sign, was_bad or bad, was_good or good, link or name == "a"))
+            self.path_numbers[key] = found
+        return found
+
+    def token(self, kind: str, path: int) -> int:
+        key = (kind, path)
+        found = self.token_numbers.get(key)
+        if found is None:
+            found = self.token_numbers[key] = len(self.tokens)
+            self.tokens.append(key)
+        return found
+
+    def is_tag(self, token: int) -> bool:
+        return self.tokens[token][0] in ("<", "</")
+
+    def signs(self, path: int) -> list[str]:
+        """The elements of a path from the outermost, ids left out."""
+        out = []
+        while path > 0:
+            path, sign = self.paths[path][:2]
+            out.append(sign.partition("#")[0])
+        return out[::-1]
+
+
 class Page:
-    """The tokens of one page: (position, token) and the text slots: (path, boilerplate, main, words, block number)."""
+    """The tokens of one page, and its texts: [path, value, block number, number of tokens before it]."""
 
-    def __init__(self, source: str):
-        self.tokens: list[str] = []
-        self.slots: list[list] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate, main
+    def __init__(self, source: str, names: Names):
+        self.names = names
+        self.tokens: list[int] = []
+        self.texts: list[tuple[int, str, int, int]] = []
+        stack: list[tuple[str, int]] = []
         block = at = 0
-        skip = None
+        skip = lower = None
 
-        def close(name: str) -> None:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    return
+        def close(k: int) -> None:
+            for _, path in reversed(stack[k:]):
+                self.tokens.append(names.token("</", path))
+            del stack[k:]
 
         def text(raw: str) -> None:
             value = html.unescape(raw) if "&" in raw else raw
             if value:
-                _, path, bad, good = stack[-1] if stack else ("", "", False, False)
-                self.slots.append([path, bad, good, value, block, len(self.tokens)])
+                path = stack[-1][1] if stack else 0
+                self.texts.append((path, value, block, len(self.tokens)))
                 if not value.isspace():
-                    self.tokens.extend(f"{w}|{path}" for w in value.split())
+                    self.tokens.extend([names.token(w, path) for w in value.split()])
 
-        lower = None
         while at < len(source):
             if skip:
                 lower = lower if lower is not None else source.lower()
@@ -141,158 +202,227 @@ class Page:
             if name not in INLINE:
                 block += 1
             if m[2]:
-                close(name)
-                self.tokens.append(f"</{name}|{stack[-1][1] if stack else ''}")
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
                 continue
-            sign, bad, good = _element(name, m[4])
             if name not in VOID:
                 for opened, closers in CLOSED_BY.items():
                     if name in closers:
                         scope = SCOPES.get(opened, frozenset())
                         for k in range(len(stack) - 1, -1, -1):
                             if stack[k][0] == opened:
-                                del stack[k:]
+                                close(k)
                                 break
                             if stack[k][0] in scope or opened == "p" and stack[k][0] not in INLINE:
                                 break
-            _, path, was_bad, was_good = stack[-1] if stack else ("", "", False, False)
-            here = f"{path}/{sign}"
-            self.tokens.append(f"<{here}")
+            here = names.path(stack[-1][1] if stack else 0, name, m[4])
+            self.tokens.append(names.token("<", here))
             if name in VOID or m[4].endswith("/"):
                 continue
-            stack.append((name, here, was_bad or bad, was_good or good))
+            stack.append((name, here))
             if name in RAW:
                 skip = name
 
 
-def valid_classes(pages: list[Page], min_support: float, min_size: int) -> tuple[set[str], list[dict]]:
-    """Tokens in valid equivalence classes, and the classes: vector, tokens in template order, parent (index or None)."""
+class Class:
+    """A valid equivalence class: its vector, its tokens in template order, its occurrences in each page that has it, and its parent and gap there."""
+
+    def __init__(self, vector: tuple, tokens: list[int], places: dict[int, list[int]]):
+        self.vector, self.tokens, self.places = vector, tokens, places
+        self.parent: Class | None = None
+        self.gap = -1
+
+    def spread(self) -> int:
+        return sum(p[-1] - p[0] for p in self.places.values())
+
+    def gap_of(self, inner: Class) -> int | None:
+        """The gap that holds all occurrences of inner; None if there is none, -1 if it lies outside."""
+        gaps = set()
+        for page, places in inner.places.items():
+            own = self.places.get(page)
+            if own is None:
+                return -1
+            for at in places:
+                k = bisect_left(own, at)
+                gaps.add(-1 if k in (0, len(own)) else (k - 1) % len(self.tokens))
+        return gaps.pop() if len(gaps) == 1 else None
+
+
+def valid_classes(pages: list[Page], min_support: float, min_size: int) -> tuple[set[int], list[Class]]:
+    """The tokens that the template prints, and the nested valid classes."""
     n = len(pages)
     if n < 2:
         return set(), []
-    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    counts: dict[int, dict[int, int]] = defaultdict(dict)
     for i, page in enumerate(pages):
         for t in page.tokens:
-            counts[t][i] = counts[t].get(i, 0) + 1
-    groups: dict[tuple, list[str]] = defaultdict(list)
+            own = counts[t]
+            own[i] = own.get(i, 0) + 1
+    groups: dict[tuple, list[int]] = defaultdict(list)
     for t, c in counts.items():
         if len(c) >= min_support * n:
-            groups[tuple(sorted(c.items()))].append(t)
-    found = []
+            groups[tuple(c.items())].append(t)
     wanted = {t: k for k, tokens in enumerate(groups.values()) if len(tokens) >= min_size for t in tokens}
     orders: dict[int, list | None] = {}
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for page in pages:
-        seen: dict[int, list[str]] = defaultdict(list)
-        ends: dict[int, list[int]] = {}
+    places: dict[int, dict[int, list[int]]] = defaultdict(dict)
+    for i, page in enumerate(pages):
         for at, t in enumerate(page.tokens):
             k = wanted.get(t)
             if k is not None:
-                seen[k].append(t)
-                ends.setdefault(k, [at, at])[1] = at
-        for k, sequence in seen.items():
-            size = len(set(sequence))
-            once = sequence[:size]
-            # the same order in every repetition and every page, else the class is not valid
-            if len(set(once)) < size or sequence != once * (len(sequence) // size) or orders.setdefault(k, once) != once:
-                orders[k] = None
-            spans[k].append(tuple(ends[k]))
-    for k, (vector, _) in enumerate(groups.items()):
-        if orders.get(k):
-            found.append({"vector": vector, "tokens": orders[k], "spans": spans[k], "parent": None})
-    found.sort(key=lambda c: -sum(b - a for a, b in c["spans"]))
-    for i, inner in enumerate(found):
-        for j in range(i - 1, -1, -1):
-            outer = found[j]
-            if len(outer["spans"]) == len(inner["spans"]) and all(a <= c and d <= b for (a, b), (c, d) in zip(outer["spans"], inner["spans"], strict=True)):
-                inner["parent"] = j
+                places[k].setdefault(i, []).append(at)
+        for k, own in places.items():
+            if i in own:
+                sequence = [page.tokens[at] for at in own[i]]
+                size = len(set(sequence))
+                once = sequence[:size]
+                # the same order in every repetition and every page, else the class is not valid
+                if len(set(once)) < size or sequence != once * (len(sequence) // size) or orders.setdefault(k, once) != once:
+                    orders[k] = None
+    found = [Class(vector, orders[k], places[k]) for k, vector in enumerate(groups) if orders.get(k)]
+    found.sort(key=lambda c: (-c.spread(), c.tokens))
+    nested: list[Class] = []
+    for c in found:
+        gaps = [(outer, outer.gap_of(c)) for outer in nested]
+        if any(gap is None for _, gap in gaps):
+            continue  # it crosses another class
+        for outer, gap in reversed(gaps):
+            if gap >= 0:
+                c.parent, c.gap = outer, gap
                 break
-    template = {t for c in found for t in c["tokens"]}
+        nested.append(c)
+    template = {t for c in nested for t in c.tokens}
     # a word that the template prints several times has a multiple of its class's vector
-    once = {c["vector"] for c in found}
+    once = {c.vector for c in nested}
     for vector, tokens in groups.items():
         k = gcd(*(n for _, n in vector))
         if k > 1 and tuple((i, n // k) for i, n in vector) in once:
-            template.update(t for t in tokens if t[0] != "<" and orders.get(wanted.get(t), True) is not None)
-    return template, found
+            template.update(t for t in tokens if not pages[0].names.is_tag(t) and orders.get(wanted.get(t), True) is not None)
+    return template, nested
 
 
-def _slot_is_template(slot: list, template: set[str], page: Page) -> bool:
-    words = slot[3].split()
-    return bool(words) and all(f"{w}|{slot[0]}" in template for w in words)
+def slots_of(pages: list[Page], nested: list[Class]) -> list[list[tuple[int, int]]]:
+    """Of each page the slot of each text: (number of the innermost class around it, gap), or (-1, -1) outside all classes."""
+    out = []
+    for i, page in enumerate(pages):
+        edges: list[tuple[int, tuple[int, int]]] = [(0, (-1, -1))]
+        marks = sorted((at, j, r) for j, c in enumerate(nested) for r, at in enumerate(c.places.get(i, ())))
+        number = {id(c): j for j, c in enumerate(nested)}
+        for at, j, r in marks:
+            c = nested[j]
+            if r == len(c.places[i]) - 1:  # after its last token the text is in the slot around the class
+                edges.append((at + 1, (number[id(c.parent)], c.gap) if c.parent else (-1, -1)))
+            else:
+                edges.append((at + 1, (j, r % len(c.tokens))))
+        starts = [e[0] for e in edges]
+        out.append([edges[bisect_right(starts, t[3]) - 1][1] for t in page.texts])
+    return out
+
+
+def judged_slots(names: Names, nested: list[Class]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """The template's main slots and its boilerplate slots, by what the elements open there say."""
+    main, boilerplate = set(), set()
+    for j, c in enumerate(nested):
+        for gap, token in enumerate(c.tokens):
+            kind, path = names.tokens[token]
+            _, _, bad, good, _ = names.paths[names.paths[path][0] if kind == "</" else path]
+            if bad:
+                boilerplate.add((j, gap))
+            elif good:
+                main.add((j, gap))
+    return main, boilerplate
+
+
+def _printed(text: tuple, template: set[int], page: Page) -> bool:
+    numbers = page.names.token_numbers
+    words = text[1].split()
+    return bool(words) and all(numbers[w, text[0]] in template for w in words)
 
 
-def _main_template(pages: list[Page], template: set[str]) -> list[set[int]]:
-    """Of each page the lines within main elements that the template prints.
+def _main_template(pages: list[Page], mains: list[list[bool]], template: set[int]) -> list[set[int]]:
+    """Of each page the lines of main text that the template prints.
 
     Copies of one article share their words as pages of one template do. So a group of fewer than ``MAIN_PAGES`` different pages, or one whose main
-    texts are shared for more than half, says nothing of its main elements.
+    texts are shared for more than half, says nothing of them.
     """
     nothing: list[set[int]] = [set() for _ in pages]
     if len({tuple(p.tokens) for p in pages}) < MAIN_PAGES:
         return nothing
     found, shared, total = [], 0, 0
-    for page in pages:
+    for page, is_main in zip(pages, mains, strict=True):
         sizes: dict[int, int] = defaultdict(int)
         own: set[int] = set()
-        for slot in page.slots:
-            if slot[2] and not slot[1] and slot[3].strip():
-                sizes[slot[4]] += len(slot[3].strip())
-                if not _slot_is_template(slot, template, page):
-                    own.add(slot[4])
+        for text, main in zip(page.texts, is_main, strict=True):
+            if main and text[1].strip():
+                sizes[text[2]] += len(text[1].strip())
+                if not _printed(text, template, page):
+                    own.add(text[2])
         found.append(sizes.keys() - own)
         shared += sum(sizes[k] for k in found[-1])
         total += sum(sizes.values())
     return found if 2 * shared <= total else nothing
 
 
-def _main_path(page: Page, template: set[str]) -> str:
+def _main_path(page: Page, free: list[tuple]) -> tuple[str, ...]:
     """Where no element says what the main text is: the deepest path prefix, ids left out, with 60 % or more of the page's free text."""
-    sizes: dict[str, int] = defaultdict(int)
-    total = 0
-    for slot in page.slots:
-        if not slot[1] and not _slot_is_template(slot, template, page):
-            size = len(slot[3].strip())
-            total += size
-            parts = _without_ids(slot[0]).split("/")
-            for k in range(1, len(parts) + 1):
-                sizes["/".join(parts[:k])] += size
-    good = [p for p, s in sizes.items() if s >= 0.6 * total and not re.search(r"/(p|li|h[1-6]|a|b|span)[^/]*$", p)]
-    return max(good, key=lambda p: (p.count("/"), p), default="")
-
-
-def _without_ids(path: str) -> str:
-    return re.sub(r"#[^/]*", "", path)
+    sizes: dict[int, int] = defaultdict(int)
+    for text in free:
+        sizes[text[0]] += len(text[1].strip())
+    total = sum(sizes.values())
+    prefix: tuple[str, ...] = ()
+    paths = [(page.names.signs(p), n) for p, n in sizes.items()]
+    while True:
+        here: dict[str, int] = defaultdict(int)
+        for signs, n in paths:
+            if len(signs) > len(prefix):
+                here[signs[len(prefix)]] += n
+        best = max(here, key=lambda s: (here[s], s), default=None)
+        if best is None or here[best] < 0.6 * total or re.fullmatch(r"(p|li|h[1-6]|a|b|span)(\..*)?", best):
+            return prefix
+        prefix = (*prefix, best)
+        paths = [(signs, n) for signs, n in paths if signs[len(prefix) - 1 : len(prefix)] == [best]]
+
+
+def _lines(kept: list[tuple], left_out: set[int]) -> str:
+    blocks: dict[int, list[str]] = {}
+    for text in kept:
+        if text[2] not in left_out:
+            blocks.setdefault(text[2], []).append(text[1])
+    lines = [" ".join("".join(parts).split()) for parts in blocks.values()]
+    return "\n".join(x for x in lines if x)
+
+
+def _without_main(page: Page, template: set[int]) -> str:
+    free = [t for t in page.texts if not page.names.paths[t[0]][2] and not _printed(t, template, page)]
+    prefix = _main_path(page, free)
+    aside = {t[2] for t in free}  # lines outside the prefix, as long as they are links only
+    for t in free:
+        if t[1].strip() and (not page.names.paths[t[0]][4] or tuple(page.names.signs(t[0])[: len(prefix)]) == prefix):
+            aside.discard(t[2])
+    return _lines(free, aside)
 
 
 def extract(sources: list[str], min_support: float = MIN_SUPPORT, min_size: int = MIN_SIZE) -> list[str]:
     """The main texts of pages of one host."""
-    pages = [Page(s) for s in sources]
-    template, _ = valid_classes(pages, min_support, min_size)
-    printed = _main_template(pages, template)
+    names = Names()
+    pages = [Page(s, names) for s in sources]
+    template, nested = valid_classes(pages, min_support, min_size)
+    main, boilerplate = judged_slots(names, nested)
+    mains = []
+    for page, slots in zip(pages, slots_of(pages, nested), strict=True):
+        clean = [not names.paths[t[0]][2] for t in page.texts]
+        own = [c and s in main for c, s in zip(clean, slots, strict=True)]
+        if not any(o and t[1].strip() for o, t in zip(own, page.texts, strict=True)):  # of another template, or the only page
+            own = [c and names.paths[t[0]][3] and s not in boilerplate for c, s, t in zip(clean, slots, page.texts, strict=True)]
+        mains.append(own)
+    printed = _main_template(pages, mains, template)
     out = []
-    for page, said in zip(pages, printed, strict=True):
-        use_main = any(s[2] and not s[1] and s[3].strip() for s in page.slots)
-        prefix = "" if use_main else _main_path(page, template)
-        blocks: list[tuple[int, list[str]]] = []
-        aside: set[int] = set()  # lines outside the prefix, as long as they are links only
-        for slot in page.slots:
-            if slot[1]:
-                continue
-            if use_main and (not slot[2] or slot[4] in said):
-                continue
-            if not use_main and _slot_is_template(slot, template, page):
-                continue
-            if blocks and blocks[-1][0] == slot[4]:
-                blocks[-1][1].append(slot[3])
-            else:
-                blocks.append((slot[4], [slot[3]]))
-                if not use_main:
-                    aside.add(slot[4])
-            if slot[3].strip() and ((_without_ids(slot[0]) + "/").startswith(prefix + "/") or not LINK.search(slot[0])):
-                aside.discard(slot[4])
-        lines = [" ".join("".join(parts).split()) for k, parts in blocks if k not in aside]
-        out.append("\n".join(x for x in lines if x))
+    for page, own, said in zip(pages, mains, printed, strict=True):
+        if any(o and t[1].strip() for o, t in zip(own, page.texts, strict=True)):
+            out.append(_lines([t for o, t in zip(own, page.texts, strict=True) if o], said))
+        else:
+            out.append(_without_main(page, template))
     return out
 
 
@@ -320,6 +450,7 @@ def extract_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A host's rows follow one another; they are taken in groups of group_pages to twice as many less one."""
+        no_tables()
         held: list[tuple] = []
         key = types = None
 

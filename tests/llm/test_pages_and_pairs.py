@@ -28,10 +28,75 @@ def test_template_words_are_not_text():
 
 
 def test_classes():
-    pages = [H.Page(f"<html><body><h1>{k}</h1><ul>{'<li>x</li>' * (k + 1)}</ul></body></html>") for k in range(5)]
+    names = H.Names()
+    pages = [H.Page(f"<html><body><h1>{k}</h1><ul>{'<li>x</li>' * (k + 1)}</ul></body></html>", names) for k in range(5)]
     tokens, classes = H.valid_classes(pages, 0.8, 3)
-    assert "</html/body/h1" in tokens and "<" + "/html/body/ul/li" in tokens
-    assert any(c["parent"] is not None for c in classes)
+    found = {(names.tokens[t][0], *names.signs(names.tokens[t][1])) for t in tokens}
+    assert {("</", "html", "body", "h1"), ("<", "html", "body", "ul", "li"), ("x", "html", "body", "ul", "li")} <= found
+    inner = [c for c in classes if c.parent is not None]
+    assert len(inner) == 1 and names.tokens[inner[0].parent.tokens[inner[0].gap]][0] == "<"
+
+
+def _brute_classes(sequences, support, size):
+    """Sets of tokens with equal counts in every page, in one order wherever they stand."""
+    vectors = defaultdict(set)
+    for t in {t for s in sequences for t in s}:
+        v = tuple(s.count(t) for s in sequences)
+        if sum(map(bool, v)) >= support * len(sequences):
+            vectors[v].add(t)
+    out = set()
+    for v, tokens in vectors.items():
+        if len(tokens) >= size:
+            runs = [[t for t in s if t in tokens] for s in sequences]
+            first = next(r for r in runs if r)[: len(tokens)]
+            if all(r == first * (len(r) // len(first)) for r in runs):
+                out.add(frozenset(tokens))
+    return out
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdefg"), max_size=14), min_size=2, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_classes_against_brute_force(words):
+    names = H.Names()
+    pages = [H.Page(" ".join(w), names) for w in words]
+    _, classes = H.valid_classes(pages, 0.5, 2)
+    brute = _brute_classes([p.tokens for p in pages], 0.5, 2)
+    found = {frozenset(c.tokens) for c in classes}
+    assert found <= brute and bool(found) == bool(brute)
+    for c in classes:  # nested: no class crosses another
+        for d in classes:
+            assert c is d or d.gap_of(c) is not None or c.gap_of(d) is not None
+
+
+def test_names_inside_an_article():
+    page = """<body><div class="site-header">Site {n}</div><div class="share-bar share">Share {n}</div><article><h1 class="entry-header">Title {n}</h1><p class="share-price">price {n}</p>
+<div class="form-guide">guide {n}</div><div class="comments-area">nice {n}</div><div class="social-share">tweet {n}</div><header>By {n}</header><footer>tags {n}</footer></article></body>"""
+    for k in (1, 5):
+        assert H.extract([page.format(n=n) for n in range(k)]) == [f"Title {n}\nprice {n}\nguide {n}\nBy {n}" for n in range(k)]
+
+
+def test_the_template_decides(monkeypatch):
+    """An element is the main one where the template has it, not where one page's text happens to have it; without classes other text comes out."""
+    page = '<body><div class="x1">{a}</div><div class="content"><h2>Own {n}</h2><p>{w}</p><p class="zz">Printed on each page of the site</p></div></body>'
+    odd = '<div class="content">quoted {n}</div>'
+    pages = [page.format(a=odd.format(n=n) if n == 3 else f"top {n}", n=n, w=" ".join(f"w{n}x{k}" for k in range(30))) for n in range(12)]
+    want = [f"Own {n}\n" + " ".join(f"w{n}x{k}" for k in range(30)) for n in range(12)]
+    assert H.extract(pages) == want
+    monkeypatch.setattr(H, "valid_classes", lambda *_: (set(), []))
+    assert all(a != b for a, b in zip(H.extract(pages), want, strict=True))
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    def peak(depth):
+        tracemalloc.start()
+        H.extract(["<div>" * depth + "x" + "</div>" * depth])
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return size
+
+    assert peak(8000) < 3 * peak(4000)
 
 
 def test_broken_pages():
