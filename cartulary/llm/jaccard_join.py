@@ -516,7 +516,7 @@ def _cross_rows(members: DataFrame) -> int:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The nodes table (doc_id, key, n, digest), the sets (key, first, digest) and, if there are links, the components (key, comp)."""
+    """The nodes table (doc_id, key, n, digest), the sets (key, first, digest, least row) and, if there are links, the components (key, comp)."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("_text"), _digest(F.col(text_col)).alias("digest"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).collect()[0][0]
@@ -526,7 +526,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> tuple[
     maps = context.broadcast(_frequent(table, bits, total))
     nodes = cut(table.where("chunk is null").select("doc_id", "key", "n", "digest"), "nodes")
     drop(table)
-    firsts = cut(nodes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest")), "sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("row")
+    firsts = cut(nodes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), least), "sets")
     buckets = max(5, (total // 4 // BUCKET).bit_length())
     members = cut(_members(_postings(rows, maps, buckets), buckets), "members")
     most = CROSS_PER_ROW * members.count()
@@ -578,14 +579,13 @@ def keep_one_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words stay, each for itself.
     """
-    nodes, firsts, comps = _classes(docs, "doc_id", "text", ROUNDS)
-    rooted = firsts.select("key", F.col("key").alias("root")) if comps is None else firsts.join(comps, "key", "left").select("key", F.coalesce("comp", "key").alias("root"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("k")
-    kept = cut(nodes.where("key is not null").join(rooted, "key").groupBy("root").agg(least).select(F.col("k.doc_id").alias("i"), F.col("k.digest").alias("d")), "kept")
+    _, firsts, comps = _classes(docs, "doc_id", "text", ROUNDS)
+    rooted = firsts.withColumn("root", F.col("key")) if comps is None else firsts.join(comps, "key", "left").withColumn("root", F.coalesce("comp", "key"))
+    kept = cut(rooted.groupBy("root").agg(F.min("row").alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.digest").alias("e")), "kept")
     names = [f"c{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*names)
     id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     has_words = F.coalesce(text.rlike("[^ \\t-\\r]"), F.lit(False))
-    chosen = rows.where(has_words).withColumn("d", _digest(text)).join(kept.withColumnRenamed("d", "e"), id_.eqNullSafe(F.col("i")) & (F.col("d") == F.col("e")), "left_semi")
+    chosen = rows.where(has_words).withColumn("d", _digest(text)).join(kept, id_.eqNullSafe(F.col("i")) & (F.col("d") == F.col("e")), "left_semi")
     once = chosen.withColumn("r", F.row_number().over(Window.partitionBy(id_, "d").orderBy("d"))).where("r = 1")
     return once.select(*names).unionByName(rows.where(~has_words)).toDF(*docs.columns)
