@@ -19,7 +19,7 @@ MEDIA = ["Photos", "Videos", "Audio"]
 FINANCIAL = "tax invoice bank insurance mortgage receipt salary payslip pension statement budget finance loan credit".split()
 
 #: Folders that hold no user files.
-QUARANTINE = "ArchiveOrganiser_Quarantine"
+QUARANTINE = "Cartulary_Quarantine"
 JUNK_FOLDERS = [".git", ".Trash", ".trashes", "$RECYCLE.BIN", "System Volume Information", "__MACOSX", "node_modules", ".cache", QUARANTINE]
 
 

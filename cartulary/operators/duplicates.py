@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartulary.functions import contents, names
-from cartulary.llm.jaccard_join import components
+from cartulary.operators.closure import components
 from cartulary.operators.index import disk_only, is_document, is_photo, same_size
 from cartulary.scratch import cut
 
@@ -41,11 +41,12 @@ def exact(files: DataFrame, algo: str = "sha256") -> DataFrame:
 
 def two_phase_digest(files: DataFrame, prefix: int = 8 << 20) -> DataFrame:
     """id, digest: the digest of a file's first bytes, and of the whole only where size and first digest repeat or the size also holds small files."""
-    rows = files.withColumn("_p", F.crc32(F.substring(F.col("content").cast("binary"), 1, prefix)))
-    seen = Window.partitionBy("size", "_p")
-    repeated = rows.withColumn("_n", F.count(F.lit(1)).over(seen))
-    whole = contents.content_digest(F.col("content"), F.col("size"))
-    return repeated.select("id", "size", F.when((F.col("_n") > 1) | (F.col("size") <= prefix), whole).alias("digest"))
+    # both digests are made where the content is read: what is shuffled is a few bytes a file
+    first = F.crc32(F.substring(F.col("content").cast("binary"), 1, prefix))
+    rows = files.select("id", "size", first.alias("_p"), contents.content_digest(F.col("content"), F.col("size")).alias("_whole"))
+    many = rows.groupBy("size", "_p").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    seen = rows.join(many, rows["size"].eqNullSafe(many["size"]) & rows["_p"].eqNullSafe(many["_p"]), "left")
+    return seen.select("id", rows["size"], F.when(F.col("_n").isNotNull() | (rows["size"] <= prefix), F.col("_whole")).alias("digest"))
 
 
 def by_name(files: DataFrame, kind: str) -> DataFrame:
@@ -93,15 +94,15 @@ def _close_pairs(rows: DataFrame, key: str, distance: int) -> DataFrame:
     return once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.alias("distance"))
 
 
-def near_edges(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = 80) -> DataFrame:
+def near_edges(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = None) -> DataFrame:
     """(a, b, distance) of files whose visual hashes begin alike and differ in ``distance`` bits at most.
 
-    ``most`` leaves out lists of more rows, as the reference's in-memory loop does; None compares every list whole.
+    Every list is compared whole; ``most`` leaves out lists of more rows.
     """
     return _close_pairs(_lists(files, prefix, most), "id", distance)
 
 
-def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = 80) -> DataFrame:
+def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = None) -> DataFrame:
     """Groups by transitive closure of near_edges, without those of one hash only. Equal hashes are one node of the closure."""
     keyed = _lists(files, prefix, most)
     nodes = keyed.select("visual_hash", "p").distinct().withColumn("h", F.col("visual_hash"))

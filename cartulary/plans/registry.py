@@ -115,17 +115,17 @@ def sample_rows(spark, sf_dir):
     "select id, path from n where i % greatest(1, total // 100) = 0 and i < greatest(1, total // 100) * 100"
 )
 def stride_sample(spark, sf_dir):
-    return index.stride_sample(_docs(spark, sf_dir), 100).select("id", "path")
+    return index.stride_sample(_docs(spark, sf_dir).select("id", "path"), 100)
 
 
-_TREE = "case id % 6 when 0 then '.git/' when 1 then 'node_modules/x/' when 2 then '.hidden/' when 3 then 'ArchiveOrganiser_Quarantine/' when 4 then '.' else '' end"
+_TREE = f"case id % 6 when 0 then '.git/' when 1 then 'node_modules/x/' when 2 then '.hidden/' when 3 then '{names.QUARANTINE}/' when 4 then '.' else '' end"
 _PRUNE = sql.DOCS + f", t as (select id, source_root || '/' || {_TREE} || name as path, {_TREE} || name as rel from files)"
 _JUNK = "(" + " or ".join(f"contains('/' || regexp_replace(rel, '[^/]*$', ''), '/{j}/')" for j in names.JUNK_FOLDERS) + " or regexp_matches(rel, '(^|/)\\.[^/]*/'))"
 
 
 def _tree(spark, sf_dir) -> DataFrame:
     kind = F.col("id") % 6
-    inner = F.when(kind == 0, ".git/").when(kind == 1, "node_modules/x/").when(kind == 2, ".hidden/").when(kind == 3, "ArchiveOrganiser_Quarantine/").when(kind == 4, ".").otherwise("")
+    inner = F.when(kind == 0, ".git/").when(kind == 1, "node_modules/x/").when(kind == 2, ".hidden/").when(kind == 3, f"{names.QUARANTINE}/").when(kind == 4, ".").otherwise("")
     return _docs(spark, sf_dir).withColumn("path", F.concat("source_root", F.lit("/"), inner, _name()))
 
 
@@ -134,7 +134,7 @@ def dir_prune(spark, sf_dir):
     return index.pruned(_tree(spark, sf_dir)).select("id", "path")
 
 
-@query(_PRUNE + f" select id, path, {_JUNK} or regexp_matches(rel, '(^|/)\\.[^/]*$') as is_junk from t where not contains(rel, 'ArchiveOrganiser_Quarantine/')")
+@query(_PRUNE + f" select id, path, {_JUNK} or regexp_matches(rel, '(^|/)\\.[^/]*$') as is_junk from t where not contains(rel, '{names.QUARANTINE}/')")
 def junk_flags(spark, sf_dir):
     return index.pruned(_tree(spark, sf_dir), include_junk=True).select("id", "path", "is_junk")
 
@@ -185,7 +185,7 @@ def text_fingerprint(spark, sf_dir):
     return _docs(spark, sf_dir).select("id", contents.text_fingerprint(F.col("content")).alias("fingerprint"))
 
 
-_TOKENS = "list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{4,}')[1:2000])"
+_TOKENS = "list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{4,}'))"
 
 
 @query(sql.DOCS + f"select id, len({_TOKENS}) as n_tokens, array_to_string(list_sort({_TOKENS}), ' ') as tokens from files")
@@ -295,18 +295,20 @@ def look_dups(spark, sf_dir):
     return found.join(fixtures.files_media(spark, sf_dir), "id").select("id", "bits", "keep_rank")
 
 
-_LISTS = "(select p from (select bits[1:4] as p from media) group by p having count(*) between 2 and 80)"
-
-
 @query(
     _MEDIA_SQL + ", k as (select id, bits, bits[1:4] as p from media) select a.id as a, b.id as b, bit_count(xor(a.bits::bit, b.bits::bit))::int as distance "
-    f"from k a join k b on a.p = b.p and a.id < b.id where a.p in {_LISTS} and bit_count(xor(a.bits::bit, b.bits::bit)) <= 20"
+    "from k a join k b on a.p = b.p and a.id < b.id where bit_count(xor(a.bits::bit, b.bits::bit)) <= 20"
 )
 def near_edges(spark, sf_dir):
     return duplicates.near_edges(_media(spark, sf_dir), prefix=1, distance=20, most=None)
 
 
-@query()
+@query(
+    _MEDIA_SQL.replace("with media", "with recursive media", 1) + ", h as (select distinct bits, bits[1:4] as p from media), e as (select a.bits as x, b.bits as y from h a join h b on a.p = b.p and a.bits <> b.bits "
+    "where bit_count(xor(a.bits::bit, b.bits::bit)) <= 20), r as (select x as bits, x as seen from e union select r.bits, e.y from r join e on r.seen = e.x), "
+    "c as (select bits, min(seen) as comp from r group by bits), n as (select id, comp from media join c using (bits)), g as (select comp, min(id) as root from n group by comp) "
+    "select 'near:' || root as gid, 'similar_photo' as kind, id, '/vault/photos/img_' || id || '.jpg' as path, 1000::bigint as size, row_number() over (partition by root order by id) - 1 as keep_rank from n join g using (comp)"
+)
 def near_look(spark, sf_dir):
     return duplicates.near_look(_media(spark, sf_dir), prefix=1, distance=20, most=None).select(*_MEMBER_COLS)
 
@@ -446,10 +448,15 @@ def layout_combined(spark, sf_dir):
     return layout.plan(_docs(spark, sf_dir), ["by_year_month", "type_date"], sql.ROOT, OPTIONS).select("id", "destination")
 
 
-@query("select 0 as owner, * from (values ('Photos', 'MyArchive/Photos/{year}/{month}'), ('Videos', 'MyArchive/Videos/{year}/{month}'), ('Documents', 'MyArchive/Documents/{ext}'), ('Audio', 'MyArchive/Audio'), ('Archives', 'MyArchive/Archives'), ('*', 'MyArchive/Other')) as t(category, template)" + " where exists (select 1 from documents)")
+@query(
+    "select source as owner, category, case when category = 'Audio' then source || '/Audio' else template end as template from (select distinct source from documents where source is not null) "
+    "cross join (values ('Photos', 'MyArchive/Photos/{year}/{month}'), ('Videos', 'MyArchive/Videos/{year}/{month}'), ('Documents', 'MyArchive/Documents/{ext}'), ('Audio', ''), ('Archives', 'MyArchive/Archives'), ('*', 'MyArchive/Other')) as t(category, template)"
+)
 def custom_rules(spark, sf_dir):
-    owners = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit(0).alias("owner"), F.lit(layout.DEFAULT_RULES).alias("rules")).limit(1)
-    return layout.parse_rules(owners)
+    """Each source's own rules text: the default rules, then a line of its own, which wins."""
+    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").select("source").distinct()
+    own = F.concat(F.lit(layout.DEFAULT_RULES + "\nAudio = "), F.col("source"), F.lit("/Audio\n"))
+    return layout.parse_rules(sources.select(F.col("source").alias("owner"), own.alias("rules")))
 
 
 @query(

@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from cartulary.functions import names
 from cartulary.operators import duplicates, index, layout, naming
 from cartulary.schema import as_files
 from cartulary.sources import archives, listing
@@ -33,9 +34,10 @@ def test_near_hashes(spark):
     assert sorted(r.id for r in duplicates.near_look(files).collect()) == [1, 2, 3]
 
 
-def test_large_lists_are_not_compared(spark):
+def test_large_lists_are_left_out_only_where_asked(spark):
     files = _files(spark, [(i, f"/p/{i}.jpg", 1, float(i), "/p", None, f"abcd{i:012x}") for i in range(81)])
-    assert duplicates.near_edges(files).count() == 0
+    assert duplicates.near_edges(files, most=80).count() == 0
+    assert duplicates.near_edges(files).count() == sum((i ^ j).bit_count() <= 8 for j in range(81) for i in range(j))
 
 
 def test_contained_groups_go(spark):
@@ -89,7 +91,7 @@ def test_unsafe_template_is_skipped(spark):
 
 
 def test_skip_reasons(spark):
-    rows = [(1, "/d/x/a.jpg", 1, 0.0, "/r", None, None), (2, "/r/ArchiveOrganiser_Quarantine/s/b.jpg", 1, 0.0, "/r", None, None), (3, "/r/c.jpg", 1, 0.0, "/r", None, None), (4, "/r/d.jpg", 1, 0.0, "/r", None, None)]
+    rows = [(1, "/d/x/a.jpg", 1, 0.0, "/r", None, None), (2, f"/r/{names.QUARANTINE}/s/b.jpg", 1, 0.0, "/r", None, None), (3, "/r/c.jpg", 1, 0.0, "/r", None, None), (4, "/r/d.jpg", 1, 0.0, "/r", None, None)]
     present = spark.createDataFrame([("/r/d.jpg",)], "path string")
     got = {r.id: r.skip_reason for r in layout.plan(_files(spark, rows), ["by_type"], "/d", layout.LayoutOptions(as_of=0.0), present=present).collect()}
     assert got == {1: "already under destination", 2: "in quarantine", 3: "missing", 4: None}
