@@ -182,18 +182,21 @@ class Scanner:
         runs, places = self.statistics(seq)
         places.sort()
         chains: dict[int, list[list]] = defaultdict(list)
+        active: dict[int, list[list]] = defaultdict(list)  # those that a later run can still reach: runs begin in order
         for end, n, state in runs:
             k0, e0 = self.auto.place[state]
             # the run stands in one template for sure; other templates that hold it are tried by their own words
             run = seq[end - n + 1 : end + 1]
             for k, at in self._holders(tuple(run), (k0, e0 - n + 1)):
                 lo, hi = end - n + 1, end + 1
-                for c in reversed(chains[k]):
-                    if 0 <= lo - c[1] <= self.max_gap and 0 <= at - c[3] <= self.max_gap:
+                near = active[k] = [c for c in active[k] if lo - c[1] <= self.max_gap]
+                for c in reversed(near):
+                    if 0 <= lo - c[1] and 0 <= at - c[3] <= self.max_gap:
                         c[1], c[3], c[4] = hi, at + n, c[4] + n
                         break
                 else:
-                    chains[k].append([lo, hi, at, at + n, n])
+                    near.append([lo, hi, at, at + n, n])
+                    chains[k].append(near[-1])
         best, spans = 0.0, []
         for k, found in chains.items():
             for lo, hi, _, _, covered in found:
