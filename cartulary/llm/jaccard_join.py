@@ -10,7 +10,7 @@ sets are one node, so exact copies never meet as pairs. Two nodes link when 100
   prefix overlaps of a pair are counted, and the count with the places of the last common n-gram bounds the whole overlap, which
   discards most pairs that only share a passage.
 * For what is left the other fragments (ranges of the hash) are counted separately, one after the other, and summed per pair, until the sum is whole
-  or too small whatever is still to come. The sum is exact.
+  or too small whatever is still to come. Only pairs that can still link have their next fragments shuffled. The sum is exact.
 
 Links are wanted for components, so a large group's pairs are not all made. While the lists would give more than ``CROSS_PER_ROW`` pairs a row,
 each node of an n-gram's list meets only the list's leader; found links are contracted to components, and lists whose nodes are all in one
@@ -45,6 +45,8 @@ WORDS = 5
 CHUNK_BITS = 16
 LEAST_BITS, MOST_BITS = 18, 25
 FRAGMENTS = 4
+#: The fragments that one pass counts where only links are wanted: most pairs drop out in the first.
+PASSES = ((0, 1), (1, 2), (2, FRAGMENTS))
 BUCKET = 1 << 19
 ROUNDS = 3
 CROSS_PER_ROW = 2
@@ -358,8 +360,8 @@ def _digest_map(digests: DataFrame, count: int) -> bytes:
     return bytes(out)
 
 
-def _sets(rows: DataFrame, wanted) -> DataFrame:
-    """key, hashes of the texts whose digest is in the map ``wanted``. No wanted text is missing; a few others may be there."""
+def _sets(rows: DataFrame, wanted, lo: int, hi: int) -> DataFrame:
+    """key, n, the hashes of fragments lo to hi - 1 and how many follow, of the texts whose digest is in the map ``wanted``. No wanted text is missing; a few others may be there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, seen_texts, bits = Seen(), Seen(), np.frombuffer(wanted.value, dtype=np.uint8)
@@ -367,14 +369,17 @@ def _sets(rows: DataFrame, wanted) -> DataFrame:
             digests = batch.column("digest").to_numpy()
             asked = np.flatnonzero(bits[(digests >> 3) % len(bits)] >> (digests & 7).astype(np.uint8) & 1)
             own = [k for k in asked.tolist() if seen_texts.new(digests[k])]
-            found = {}
+            found = []
             for h in shingle_sets(batch.column("_text").take(pa.array(own, pa.int64())).to_pylist()):
                 if len(h) and seen.new(key := key_of(h)):
-                    found[key] = h.tobytes()
+                    start, end = (edges := fragment_edges(h))[lo], edges[hi]
+                    found.append((key, len(h), h[start:end].tobytes(), len(h) - end))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.binary())], names=["key", "hashes"])
+                columns = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "n", "hashes", "rest"])
 
-    return rows.select("digest", "_text").where(F.col("_text").isNotNull()).mapInArrow(run, "key binary, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    sets = rows.select("digest", "_text").where(F.col("_text").isNotNull()).mapInArrow(run, "key binary, n long, hashes binary, rest long")
+    return sets.groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("rest").alias("rest"))
 
 
 def _possible(c: Column, na: Column, nb: Column) -> Column:
@@ -404,34 +409,45 @@ def _bounded(shared: DataFrame) -> DataFrame:
 _EDGES = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], dtype=np.uint64)
 
 
-def overlap(x: np.ndarray, y: np.ndarray, whole: bool) -> int:
-    """The overlap of two sorted sets, fragment by fragment; unless the whole is wanted, 0 as soon as the limit is out of reach."""
-    cx, cy = [0, *np.searchsorted(x, _EDGES).tolist(), len(x)], [0, *np.searchsorted(y, _EDGES).tolist(), len(y)]
-    total = 0
-    for k in range(FRAGMENTS):
-        total += len(np.intersect1d(x[cx[k] : cx[k + 1]], y[cy[k] : cy[k + 1]], assume_unique=True))
-        if not whole and 175 * (total + min(len(x) - cx[k + 1], len(y) - cy[k + 1])) < 75 * (len(x) + len(y)):
-            return 0
-    return total
+def fragment_edges(hashes: np.ndarray) -> list[int]:
+    """Where the fragments of a sorted set begin, and its end."""
+    return [0, *np.searchsorted(hashes, _EDGES).tolist(), len(hashes)]
 
 
-def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
-    """a, b, share (common n-grams by all; less than 0.75 may be given as 0 unless ``whole``) and whether they link."""
+def _counted(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, lo: int, hi: int) -> DataFrame:
+    """pairs (a, b, c: common n-grams so far) with the common n-grams of fragments lo to hi - 1 added, the sizes' total and how many may follow (most)."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     digests = cut(firsts.join(keys, "key", "left_semi").select("digest"), "digests")
     wanted = rows.sparkSession.sparkContext.broadcast(_digest_map(digests, digests.count()))
     drop(digests)
-    sets = _sets(rows, wanted)
+    sets = _sets(rows, wanted, lo, hi)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ha, hb = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("ha", "hb"))
-            c = np.array([overlap(x, y, whole) for x, y in zip(ha, hb, strict=True)], dtype=np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(ha, hb, strict=True)], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(c / np.maximum(total - c, 1)), pa.array(175 * c >= 75 * total)], names=["a", "b", "share", "linked"])
+            more = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(ha, hb, strict=True)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(batch.column("c").to_numpy() + more), batch.column("total"), batch.column("most")], names=["a", "b", "c", "total", "most"])
+
+    one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"), F.col("rest").alias("ra"))
+    two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"), F.col("rest").alias("rb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "c", (F.col("na") + F.col("nb")).alias("total"), F.least("ra", "rb").alias("most"), "ha", "hb")
+    return met.mapInArrow(count, "a binary, b binary, c long, total long, most long")
+
 
-    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
-    return met.select("a", "b", "ha", "hb").mapInArrow(count, "a binary, b binary, share double, linked boolean")
+def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+    """A written table of a, b, share (common n-grams by all) and whether they link; unless ``whole``, only of the pairs that link."""
+    summed = pairs.select("a", "b", F.lit(0).cast("long").alias("c"))
+    for lo, hi in ((0, FRAGMENTS),) if whole else PASSES:
+        before = summed
+        counted = _counted(rows, firsts, before, lo, hi)
+        summed = cut(counted if whole else counted.where(175 * (F.col("c") + F.col("most")) >= 75 * F.col("total")), "sums")
+        if lo:
+            drop(before)
+        if not whole and not summed.limit(1).count():
+            break
+    links = cut(summed.select("a", "b", (F.col("c") / (F.col("total") - F.col("c"))).alias("share"), (175 * F.col("c") >= 75 * F.col("total")).alias("linked")), "links")
+    drop(summed)
+    return links
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -524,7 +540,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> tuple[
         last = cross <= most or k == rounds
         if cross:
             pairs = cut(_bounded(_all_cross(open_members, met)), "pairs") if last else _hopeful(_star(open_members, k), open_members)
-            found = cut(_verified(rows, firsts, pairs, not last), "links")
+            found = _verified(rows, firsts, pairs, not last)
             drop(pairs)
             links = found.where("linked").select("a", "b")
             if comps is not None:
