@@ -9,7 +9,7 @@ def content_digest(content: Column, size: Column, algo: str = "sha256") -> Colum
     """Key of a file's bytes. crc32: ``crc32:<size>:<8 hex digits>``; sha256: 64 hex digits. Null content has no key."""
     data = content.cast("binary")
     if algo == "crc32":
-        return F.when(size == 0, "crc32:0:00000000").otherwise(F.format_string("crc32:%d:%08x", size, F.crc32(data)))
+        return F.when(size == 0, "crc32:0:00000000").when(data.isNotNull(), F.format_string("crc32:%d:%08x", size, F.crc32(data)))
     return F.sha2(data, 256)
 
 

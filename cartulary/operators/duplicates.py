@@ -39,14 +39,28 @@ def exact(files: DataFrame, algo: str = "sha256") -> DataFrame:
     return grouped(same_size(files).withColumn("_d", digest).where("_d is not null"), key, "exact", "")
 
 
+def exact_with_members(files: DataFrame, members: DataFrame) -> DataFrame:
+    """Exact copies among files on disk and archive members. A member's key comes from the archive's directory; its bytes are not read."""
+    read = same_size(files.drop("content_fingerprint").unionByName(members.drop("content_fingerprint"), allowMissingColumns=True))
+    inside = F.col("archive_container").isNotNull()
+    digest = F.when(inside, contents.member_digest(F.col("size"), F.col("zip_crc"))).otherwise(contents.content_digest(F.col("content"), F.col("size"), "crc32"))
+    return grouped(read.withColumn("_d", digest).drop("content"), F.col("_d"), "exact", "")
+
+
+def marked_files(members: DataFrame, marked: DataFrame) -> DataFrame:
+    """The report's files on disk whose path is marked, each path once; marks of paths that the report doesn't hold count for nothing."""
+    on_disk = disk_only(members).select("id", "path", "size", "category").join(marked.select("path").distinct(), "path", "left_semi")
+    return on_disk.groupBy("path").agg(F.min(F.struct("id", "size", "category")).alias("_f")).select("_f.id", "path", "_f.size", "_f.category")
+
+
 def two_phase_digest(files: DataFrame, prefix: int = 8 << 20) -> DataFrame:
     """id, digest: the digest of a file's first bytes, and of the whole only where size and first digest repeat or the size also holds small files."""
     # both digests are made where the content is read: what is shuffled is a few bytes a file
     first = F.crc32(F.substring(F.col("content").cast("binary"), 1, prefix))
     rows = files.select("id", "size", first.alias("_p"), contents.content_digest(F.col("content"), F.col("size")).alias("_whole"))
-    many = rows.groupBy("size", "_p").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    seen = rows.join(many, rows["size"].eqNullSafe(many["size"]) & rows["_p"].eqNullSafe(many["_p"]), "left")
-    return seen.select("id", rows["size"], F.when(F.col("_n").isNotNull() | (rows["size"] <= prefix), F.col("_whole")).alias("digest"))
+    many = rows.groupBy(F.col("size").alias("_s"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    seen = rows.join(many, F.col("size").eqNullSafe(F.col("_s")) & F.col("_p").eqNullSafe(F.col("_q")), "left")
+    return seen.select("id", "size", F.when(F.col("_n").isNotNull() | (F.col("size") <= prefix), F.col("_whole")).alias("digest"))
 
 
 def by_name(files: DataFrame, kind: str) -> DataFrame:

@@ -132,6 +132,16 @@ def category_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"))
 
 
+def default_categories(files: DataFrame) -> DataFrame:
+    """source_root, category, n_files of the categories that a plan takes when none are chosen: those with a file."""
+    return files.where("category is not null").groupBy("source_root", "category").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def in_categories(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """files whose (source_root, category) is chosen."""
+    return files.join(chosen.select("source_root", "category").distinct(), ["source_root", "category"], "left_semi")
+
+
 def scan_counters(outcomes: DataFrame) -> DataFrame:
     """Rows by outcome of a listing. Counted from the table, so that a task run again counts once."""
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -189,11 +189,27 @@ def plan(files: DataFrame, layouts: list[str], root: str, options: LayoutOptions
 
 def folder_tree(planned: DataFrame, root: str) -> DataFrame:
     """folder, depth: every folder that the plan makes, below the root."""
-    below = planned.where("skip_reason is null").select(F.expr(f"substring(destination, {len(root) + 2})").alias("_d"))
-    inner = below.where("contains(_d, '/')").select(names.parent(F.col("_d")).alias("_d")).distinct()
+    below = F.split(F.expr(f"substring(destination, {len(root) + 2})"), "/")
+    inner = planned.where("skip_reason is null").select(F.array_join(F.slice(below, 1, F.size(below) - 1), "/").alias("_d")).distinct()
     parts = F.split("_d", "/")
     steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return inner.select(F.explode(steps).alias("folder")).distinct().withColumn("depth", F.size(F.split("folder", "/")))
+    # an outer explode: a filter here would be pushed to the scan, with the whole destination in it once more
+    found = inner.select(F.explode_outer(F.when(F.col("_d") != "", steps)).alias("folder")).distinct().where("folder is not null")
+    return found.withColumn("depth", F.size(F.split("folder", "/")))
+
+
+def tree_key(path: Column) -> Column:
+    """What paths are shown in the order of: their parts in lower case, compared part by part."""
+    return F.transform(F.split(path, "/"), lambda part: F.lower(part))
+
+
+def tree_order(tree: DataFrame) -> DataFrame:
+    return tree.orderBy(tree_key(F.col("folder")), "folder")
+
+
+def child_order(found: DataFrame) -> DataFrame:
+    """children in the order of a listing: by folder, in it folders first, then names whatever their case."""
+    return found.orderBy(tree_key(F.col("parent")), ~F.col("is_dir"), F.lower("name"), "name", "source")
 
 
 def children(planned: DataFrame, root: str) -> DataFrame:

@@ -198,9 +198,9 @@ _MEDIA_SQL = """with media as (select vec_id as id, reverse(list_aggregate([case
   from (select vec_id, v, list_sum([y::double for y in v]) / len(v) as m from (select vec_id, embedding[1:64] as v from embeddings)))"""
 
 
-@query(_MEDIA_SQL + " select id, bits from media")
+@query(_MEDIA_SQL + " select id, printf('%016x', bits::bit::uhugeint) as hash from media")
 def avg_hash(spark, sf_dir):
-    return fixtures.files_media(spark, sf_dir).select("id", "bits")
+    return fixtures.media_grids(spark, sf_dir).select("id", contents.average_hash(F.col("grid")).alias("hash"))
 
 
 @query(sql.DOCS + f"select id, {sql.SANITISED} as clean_name, case when regexp_matches(name, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[_ ]') then {sql.SANITISED} else strftime(ts, '%Y-%m-%d') || '_' || {sql.SANITISED} end as dated_name from files")
@@ -594,3 +594,136 @@ _MODE = (
 )
 def suggestion(spark, sf_dir):
     return advise.suggestion(_docs(spark, sf_dir))
+
+
+# ---- the engine's smaller operators ----
+
+
+@query(
+    sql.DOCS + f", m as (select 'm' || id || ':' || member_ord as key, archive_container || '!' || archive_member as shown, size, modified, content from ({fixtures.ZIP_MEMBERS})), "
+    "u as (select 'f' || id as key, path as shown, size, modified, content from files where content is not null or size = 0 union all select key, shown, size, modified, content from m where content is not null), "
+    "g as (select size, content from u group by 1, 2 having count(*) > 1) select shown as display_path, size, "
+    "row_number() over (partition by u.size, u.content order by modified, shown, key) - 1 as keep_rank from u join g using (size, content)"
+)
+def member_copies(spark, sf_dir):
+    found = duplicates.exact_with_members(_docs(spark, sf_dir), fixtures.member_files(spark, sf_dir))
+    return found.select("display_path", "size", "keep_rank")
+
+
+@query(_REPORT + ", marked as (select path from files where id % 4 <> 1) select min(id) as id, path, min(size) as size, min(category) as category from report where path in (select path from marked) group by path")
+def marked_files(spark, sf_dir):
+    marked = _docs(spark, sf_dir).where("id % 4 <> 1").select("path")
+    return duplicates.marked_files(_report(spark, sf_dir), marked)
+
+
+@query(
+    _REPORT + ", h as (select *, case kind when 'exact' then 'Exact copies' when 'similar_photo' then 'Similar photos' else 'Similar documents' end as label from g) select gid, reason, "
+    "label || ' · ' || category || ' | ' || case when length(name) > 36 then substr(name, 1, 33) || '...' else name end || ' | ' || n || ' files' as heading from h"
+)
+def group_headings(spark, sf_dir):
+    return duplicates.groups(_report(spark, sf_dir)).select("gid", "reason", "heading")
+
+
+
+@query(
+    _FOLDERS + ", o as (select folder, row_number() over (order by string_split(lower(folder), '/'), folder) as r from tree) "
+    "select repeat('    ', len(string_split(folder, '/')) - 1) || regexp_extract(folder, '([^/]*)$', 1) as line, folder from o where r <= 100"
+)
+def tree_listing(spark, sf_dir):
+    """The first 100 folders of the plan's tree, as it is shown."""
+    rows = layout.tree_order(layout.folder_tree(_life(spark, sf_dir), sql.ROOT)).limit(100)
+    return rows.select(F.concat(F.repeat(F.lit("    "), F.col("depth") - 1), names.basename(F.col("folder"))).alias("line"), "folder")
+
+
+@query(sql.DOCS + ", c as (select source_root, category, count(*) as n_files from files group by 1, 2) select source_root, category, n_files from c")
+def default_categories(spark, sf_dir):
+    return index.default_categories(_docs(spark, sf_dir))
+
+
+@query(
+    sql.DOCS + ", chosen as (select distinct source_root, category from files where id % 2 = 0) select id, path, category from files where (source_root, category) in (select source_root, category from chosen)"
+)
+def chosen_categories(spark, sf_dir):
+    files = _docs(spark, sf_dir)
+    return index.in_categories(files, index.default_categories(files.where("id % 2 = 0"))).select("id", "path", "category")
+
+
+_CLOCK = (
+    "case when s < 1 then printf('%.1fs', round_even(s, 1)) when w >= 3600 then printf('%dh %02dm %02ds', w // 3600, w % 3600 // 60, w % 60) "
+    "when w >= 60 then printf('%dm %02ds', w // 60, w % 60) else printf('%ds', w) end"
+)
+
+
+@query(sql.DOCS + f", t as (select id, size / 8.0 as s, round_even(size / 8.0, 0)::bigint as w from files) select id, {_CLOCK} as shown from t")
+def human_durations(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", formats.human_duration(F.col("size") / 8.0).alias("shown"))
+
+
+@query(
+    f"with m as ({fixtures.ZIP_MEMBERS}), a as (select archive_container, sum(size) * 1000 as bytes from m group by 1), v as (select archive_container, bytes, bytes + greatest(67108864, floor(bytes * 0.1)::bigint) as needed, "
+    "case when regexp_extract(archive_container, '^/vault/(src[0-9]+)', 1) = 'src3' then null else 68000000 end as free_bytes from a) "
+    "select archive_container, bytes, needed, free_bytes, coalesce(free_bytes < needed, false) as low from v"
+)
+def expansion_space(spark, sf_dir):
+    members = fixtures.zip_members(spark, sf_dir).withColumn("volume", F.regexp_extract("archive_container", "^/vault/(src[0-9]+)", 1))
+    archives = members.groupBy("archive_container", "volume").agg((F.sum("size") * 1000).alias("bytes"))
+    volumes = archives.select("volume").distinct().where("volume <> 'src3'").withColumn("free_bytes", F.lit(68_000_000).cast("long"))
+    return index.expansion_space(archives, volumes)
+
+
+@query(f"with o as ({fixtures.LISTING_OUTCOMES}) select outcome as status, count(*) as n from o group by 1")
+def action_log(spark, sf_dir):
+    return index.action_summary(fixtures.listing_outcomes(spark, sf_dir).withColumnRenamed("outcome", "status"))
+
+
+@query(sql.DOCS + ", c as (select category, count(*) as n_files, case category when 'Documents' then 40 when 'Photos' then 30 end as \"limit\" from files group by 1) select category, n_files, \"limit\" from c where n_files > \"limit\"")
+def large_library(spark, sf_dir):
+    return index.large_library(_docs(spark, sf_dir), 40, 30)
+
+
+@query(
+    sql.DOCS + ", r as (select f.source_root, f.id, f.id % 3 as device_id, case when f.source_root like '%web' then null else 1 end as root_device_id from files f) "
+    "select id, source_root, root_device_id is not null and device_id <> root_device_id as cross_device from r"
+)
+def on_device(spark, sf_dir):
+    files = _docs(spark, sf_dir).withColumn("device_id", F.col("id") % 3)
+    roots = files.where("source_root not like '%web'").select("source_root", F.lit(1).cast("long").alias("root_device_id")).distinct()
+    return index.on_device(files, roots).select("id", "source_root", "cross_device")
+
+
+@query(
+    f"with m as ({fixtures.ZIP_MEMBERS}), w as (select distinct archive_container as source_root, id // 1000 % 4 as k from m), "
+    "e as (select source_root, case k when 0 then 'missing' when 1 then 'not a folder' when 2 then 'not readable' end as error from w) select source_root, error from e where error is not null"
+)
+def missing_roots(spark, sf_dir):
+    roots = fixtures.zip_members(spark, sf_dir).select(F.col("archive_container").alias("source_root"), F.expr("id div 1000 % 4").alias("_k")).distinct()
+    there = roots.where("_k > 0").select("source_root", (F.col("_k") > 1).alias("is_dir"), (F.col("_k") > 2).alias("readable"))
+    return index.missing_roots(roots.select("source_root"), there)
+
+
+@query(
+    sql.DOCS + f" select id, name, lower(suffix) as extension, {sql.human_bytes('size')} as shown_size, strftime(ts, '%Y-%m-%d %H:%M') as shown_time, parent as folder, substr(sha256(content), 1, 16) as short_hash from files"
+)
+def file_cards(spark, sf_dir):
+    files = _docs(spark, sf_dir)
+    return report.file_cards(files.withColumn("hash_value", contents.content_digest(F.col("content"), F.col("size"))))
+
+
+_SESSIONS = "strftime(to_timestamp(1735689600 + id % 1000 * 60) at time zone 'UTC', '%Y%m%d_%H%M%S')"
+
+
+@query(_EXACT_EXTRAS + f" select max({_SESSIONS}) as session from extras")
+def latest_session(spark, sf_dir):
+    rows = duplicates.extras(duplicates.exact(_docs(spark, sf_dir)))
+    session = F.date_format(F.timestamp_seconds(F.lit(1735689600) + F.col("id") % 1000 * 60), "yyyyMMdd_HHmmss")
+    manifests = rows.select(F.concat(F.lit("/quarantine/"), session, F.lit("/"), names.basename(F.col("path"))).alias("quarantine"), "path")
+    # a hidden folder beside the sessions is none
+    hidden = manifests.select(F.lit("/quarantine/.trash/x").alias("quarantine"), "path")
+    return layout.latest_session(manifests.unionByName(hidden), "/quarantine")
+
+
+@query(
+    sql.DOCS + ", p as (select id, size, content, count(*) over (partition by size, substr(content, 1, 64)) as n from files) select id, size, case when n > 1 or size <= 64 then sha256(content) end as digest from p"
+)
+def two_phase(spark, sf_dir):
+    return duplicates.two_phase_digest(_docs(spark, sf_dir), 64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartulary.schema import as_files
 from cartulary.session import table
@@ -48,6 +48,9 @@ select event_id as id,
   case event_id % 7 when 0 then 'symlink' when 1 then 'unreadable' when 2 then 'cross_device' else 'file' end as outcome
 from events"""
 
+MEDIA_GRID = """
+select vec_id as id, slice(embedding, 1, 64) as grid from embeddings"""
+
 FILES_MEDIA = """
 select vec_id as id, concat('/vault/photos/img_', cast(vec_id as string), '.jpg') as path,
   reverse(array_join(transform(v, x -> if(cast(x as double) >= m, '1', '0')), '')) as bits
@@ -71,9 +74,19 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, "conversations", ZIP_MEMBERS)
 
 
+def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members as rows of the files table, with the checksum that an archive's directory holds."""
+    rows = zip_members(spark, sf_dir)
+    return as_files(rows.withColumn("path", F.col("archive_container")).withColumn("zip_crc", F.crc32(F.col("content").cast("binary"))).drop("content"))
+
+
 def listing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, "events", LISTING_OUTCOMES)
 
 
 def files_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, "embeddings", FILES_MEDIA)
+
+
+def media_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, "embeddings", MEDIA_GRID)

@@ -141,3 +141,39 @@ def test_partitions_do_not_matter(spark, sf_dir):
     files = fixtures.files_docs(spark, sf_dir)
     results = [sorted((r.gid, r.id, r.keep_rank) for r in duplicates.exact(files.repartition(n)).select("gid", "id", "keep_rank").collect()) for n in (1, 7, 50)]
     assert results[0] == results[1] == results[2]
+
+
+def test_member_copies_and_marks(spark):
+    from cartulary.functions import contents
+    from cartulary.operators import duplicates
+    from cartulary.schema import as_files
+
+    files = as_files(spark.createDataFrame([(1, "/v/a.txt", 3, 1.0, "abc"), (2, "/v/b.txt", 3, 2.0, None), (3, "/v/c.txt", 0, 3.0, None)], "id long, path string, size long, modified double, content string"))
+    crc = spark.range(1).select(contents.F.crc32(contents.F.lit("abc").cast("binary"))).first()[0]
+    members = as_files(
+        spark.createDataFrame(
+            [(9, "/v/z.zip", "/v/z.zip", "in.txt", 3, 0.5, crc), (10, "/v/z.zip", "/v/z.zip", "no.txt", 3, 0.5, None)],
+            "id long, path string, archive_container string, archive_member string, size long, modified double, zip_crc long",
+        )
+    )
+    found = duplicates.exact_with_members(files, members)
+    assert [(r["id"], r["keep_rank"]) for r in found.orderBy("keep_rank").collect()] == [(9, 0), (1, 1)]
+    marks = spark.createDataFrame([("/v/a.txt",), ("/v/a.txt",), ("/v/z.zip",), ("/v/none",)], "path string")
+    assert [r["path"] for r in duplicates.marked_files(found, marks).collect()] == ["/v/a.txt"]
+
+
+def test_two_phase_digest_nulls(spark):
+    from cartulary.operators import duplicates
+
+    rows = spark.createDataFrame([(1, 9, "123456789"), (2, 9, "1234zzzzz"), (3, 9, "9999zzzzz"), (4, None, None), (5, 2, "ab")], "id long, size long, content string")
+    got = {r["id"]: r["digest"] for r in duplicates.two_phase_digest(rows, 4).collect()}
+    assert got[1] and got[2] and got[1] != got[2] and got[3] is None and got[4] is None and got[5]
+
+
+def test_listing_orders(spark):
+    from cartulary.operators import layout
+
+    tree = spark.createDataFrame([("b",), ("B/z",), ("a b",), ("a/Z",), ("a",)], "folder string")
+    assert [r[0] for r in layout.tree_order(tree).collect()] == ["a", "a/Z", "a b", "b", "B/z"]
+    kids = spark.createDataFrame([("a", "z", True, None), ("a", "B", False, "/x"), ("a", "a", False, "/y"), ("", "k", False, "/k")], "parent string, name string, is_dir boolean, source string")
+    assert [r["name"] for r in layout.child_order(kids).collect()] == ["k", "z", "a", "B"]
