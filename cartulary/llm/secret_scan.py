@@ -51,7 +51,8 @@ URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED_RUN = re.compile(r"\S+")
 ESCAPE_UNIT = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+#: Begins only where a run begins and gives nothing back, so that a run without line breaks is read once.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 GLUE = re.compile(r"[/_-]")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 LEAST_RUN = 16

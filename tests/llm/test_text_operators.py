@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -72,6 +73,16 @@ def test_bomb_and_cycle():
     assert S.unwrap("%25%32%35" * 50)[1] < 200
 
 
+@pytest.mark.parametrize("unit", ["base64", "%41", "\\u0041", "Ab1/", "usr/lib/python3/", "deadbeef", "token = "])
+def test_long_runs_take_time_in_proportion(unit):
+    """Ten million characters without a line break: every expression reads a run once."""
+    rng = np.random.default_rng(5)
+    text = base64.b64encode(rng.bytes(7_500_000)).decode() if unit == "base64" else unit * (10_000_000 // len(unit))
+    began = time.process_time()
+    S.unwrap(text)
+    assert time.process_time() - began < 90
+
+
 def test_secret_edges(odd_docs, no_docs):
     assert S.secret_scan(odd_docs).count() == 8
     assert S.secret_scan(no_docs).count() == 0
