@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartulary.llm.fill_middle import OP12_SQL, op12_fill_middle
 from cartulary.llm.html_extract import op3_html_extract
 from cartulary.llm.jaccard_join import op5_jaccard_join
 from cartulary.llm.avi import op7_avi_media
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op12_fill_middle": op12_fill_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_fill_middle": OP12_SQL}
