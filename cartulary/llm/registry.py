@@ -17,6 +17,7 @@ from cartulary.llm.sharding import op9_stratified_shards
 from cartulary.llm.bpe import op4_byte_bpe
 from cartulary.llm.quality import op1_quality_rules
 from cartulary.llm.secret_scan import op2_secret_scan
+from cartulary.llm.toxicity import op11_toxicity
 from cartulary.llm.source_divergence import OP13_SQL, op13_source_divergence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op11_toxicity": op11_toxicity,
     "op12_fill_middle": op12_fill_middle,
     "op13_source_divergence": op13_source_divergence,
 }
