@@ -21,7 +21,6 @@ extra columns are ignored, whatever their names. Very long texts are read in pie
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,10 +32,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cartulary.llm.batches import no_tables
 from cartulary.scratch import cut, drop
 
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Bytes of terms as they count, lower-cased; all others a blank.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 LEAST = 10
 TOP = 10
-FIRST_BYTES = 8
+FIRST_BYTES = 10
 HELD = 300_000
 PIECE = 1 << 20
 MOST_BITS = 25
@@ -45,14 +45,22 @@ RANGE_TERMS = 4096
 SCALE = 10**9
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
-    """The text in parts of about ``PIECE`` bytes, cut where no term goes on."""
+def _terms(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, of about ``PIECE`` bytes at a time; none is cut."""
+    if len(data) <= PIECE:
+        yield data.translate(TERM_BYTES).split()
+        return
     at = 0
     while at < len(data):
+        part = data[at : at + PIECE].translate(TERM_BYTES)
         end = at + PIECE
-        if end < len(data) and (rest := TERM.match(data, end)):
-            end = rest.end()
-        yield data[at:end]
+        while end < len(data) and (more := data[end : end + 64].translate(TERM_BYTES)).find(b" ") != 0:
+            cut_at = more.find(b" ")
+            part += more if cut_at < 0 else more[:cut_at]
+            end += len(more) if cut_at < 0 else cut_at
+            if cut_at >= 0:
+                break
+        yield part.split()
         at = end
 
 
@@ -98,18 +106,15 @@ def _level(docs: DataFrame, done: int, reach: int, alive) -> DataFrame:
                 if not data:
                     continue
                 docs_of, times = held.setdefault((lang, source), (Counter(), Counter()))
-                before, seen = len(docs_of), set()
                 prefixes = longer.setdefault(lang, Counter())
-                before += len(prefixes)
-                for piece in _pieces(data):
-                    found = TERM.findall(piece.lower())
+                before, seen = len(docs_of) + len(prefixes), set()
+                for found in _terms(data):
                     if bits is not None:
-                        found = [t for t in found if len(t) > done and living(lang, t[:done])]
-                    own = set(found)
-                    seen |= own
-                    if max(map(len, own), default=0) > reach:
-                        found = [t for t in found if len(t) <= reach]
-                    times.update(found)
+                        # few terms are so long: each is looked up once
+                        own = {t for t in set(found) if len(t) > done and living(lang, t[:done])}
+                        found = [t for t in found if len(t) > done and t in own] if own else []
+                    seen.update(found)
+                    times.update([t for t in found if len(t) <= reach])
                 long_ones = {t for t in seen if len(t) > reach}
                 if long_ones:
                     prefixes.update({t[:reach] for t in long_ones})
@@ -146,7 +151,9 @@ def iceberg_terms(docs: DataFrame, least: int = LEAST, first: int = FIRST_BYTES)
     context = docs.sparkSession.sparkContext
     tables, alive, done, reach = [], None, 0, first
     while True:
-        rows = _level(docs, done, reach, alive).groupBy("lang", "source", "term", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        # the tasks' rows are sums already: they are dealt by term at once, and both the sum by source and that over the sources find them there
+        dealt = _level(docs, done, reach, alive).repartition("lang", "term", "whole")
+        rows = dealt.groupBy("lang", "source", "term", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
         holders = F.sum("docs").over(Window.partitionBy("lang", "term", "whole"))
         level = cut(rows.withColumn("holders", holders).where(F.col("holders") >= least).select("lang", "source", "term", "whole", "n"), "level")
         tables.append(level)

@@ -47,7 +47,7 @@ def _got(df):
     return set(rows)
 
 
-@pytest.mark.parametrize("first", [1, 3, 8])
+@pytest.mark.parametrize("first", [1, 3, 10])
 def test_every_first_level_gives_the_plain_result(spark, monkeypatch, first):
     rng = np.random.default_rng(first)
     bits = ["a", "b", "é", "日", "stem", "Prefix", "ization", "x" * 40]
