@@ -6,6 +6,8 @@ joined from a grouped sum that is combined before its shuffle, so a hot key cost
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartulary.functions import contents, names
@@ -126,33 +128,43 @@ def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int |
     return grouped(files.join(named.join(firsts, "comp").select("id", "root").distinct(), "id"), F.col("root"), "similar_photo", "near")
 
 
-def token_overlap(files: DataFrame, limit: float = 0.72, most_common: int | None = None) -> DataFrame:
-    """(a, b, overlap) of texts whose token sets share ``limit`` of the smaller set, or whose fingerprints are equal.
+def token_classes(files: DataFrame) -> DataFrame:
+    """id, class_id (the least id of the texts with the same token set) and members, for every text that has tokens."""
+    rows = cut(files.where("content is not null").select("id", F.sha2(F.array_join(F.array_sort(contents.token_set(F.col("content"))), " "), 256).alias("_key")), "token_keys")
+    keyed = rows.where(F.col("_key") != hashlib.sha256(b"").hexdigest())  # no tokens
+    classes = keyed.groupBy("_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return keyed.join(classes, "_key").select("id", "class_id", "members")
+
 
-    Texts are compared through shared tokens. Of each text only the rarest tokens need a list: a pair over the limit shares one among the first
-    n - ceil(limit * n) + 1 of the smaller set, in the order of document frequency, so common tokens are in few lists. The exact overlap follows
-    for those candidates only. ``most_common`` drops tokens above that frequency (off by default).
+def token_overlap(files: DataFrame, limit: float = 0.72, common: int = 6) -> DataFrame:
+    """(a, b, overlap, members_a, members_b) of token sets that share ``limit`` of the smaller set; a and b are the class_ids of token_classes.
+
+    Equal sets, as texts with equal fingerprints have, are one class of so many members and no pairs. Tokens are put in the order of their document
+    frequency. A smaller set of n tokens shares c = ceil(limit * n) of them at least; of those, ``common`` (or c) come within the first
+    n - c + common tokens of both sets, of m - c + common in the larger set of m. So both sides are joined by prefixes, the larger one's as the smaller one
+    asks for, what they share there is counted, and the places of the last shared token bound what can follow. Only pairs within that bound have their sets compared.
     """
-    sets = cut(files.select("id", contents.token_set(F.col("content")).alias("t"), contents.text_fingerprint(F.col("content")).alias("fp")).where(F.size("t") > 0), "tokens")
-    tokens = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(freq, "token")
-    if most_common is not None:
-        ranked = ranked.where(F.col("df") <= most_common)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    first = cut(ranked.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(limit * F.col("n")) + 1).select("id", "n", "token"), "prefixes")
-    # the smaller set's rare tokens against every text that holds them
-    small = first.select(F.col("id").alias("x"), F.col("n").alias("nx"), "token")
-    large = tokens.select(F.col("id").alias("y"), F.col("n").alias("ny"), "token")
-    near = small.join(large, "token").where("nx < ny or nx = ny and x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    same = sets.where("fp is not null").select("id", "fp")
-    equal = same.select(F.col("id").alias("a"), "fp").join(same.select(F.col("id").alias("b"), "fp"), "fp").where("a < b").select("a", "b")
-    pairs = near.unionByName(equal).distinct()
-    one = sets.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("fp").alias("fa"))
-    two = sets.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("fp").alias("fb"))
+    sets = files.where("content is not null").select("id", F.array_sort(contents.token_set(F.col("content"))).alias("t"))
+    keyed = sets.groupBy(F.sha2(F.array_join("t", " "), 256).alias("_key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"), F.any_value("t").alias("t"))
+    classes = cut(keyed.where(F.size("t") > 0).select("id", "members", "t"), "token_classes")
+    least = lambda n: F.ceil(limit * F.col(n) - 1e-9)
+    tokens = classes.select("id", F.size("t").alias("n"), F.explode(F.transform("t", lambda x: F.xxhash64(x))).alias("h"))
+    freq = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
+    # tokens of one document only meet no one; they still count as places
+    ranked = cut(tokens.join(freq, "h").withColumn("r", place).where("df > 1").select("id", "n", "h", "r"), "token_places")
+    small = ranked.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), least("n").alias("c")).where(F.col("rx") <= F.col("nx") - F.col("c") + common)
+    large = ranked.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"))
+    within = (F.col("ry") <= F.col("ny") - F.col("c") + common) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    met = small.join(large, "h").where(within).groupBy("x", "y").agg(
+        F.count(F.lit(1)).alias("k"), F.max("rx").alias("rx"), F.max("ry").alias("ry"), F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max("c").alias("c")
+    )
+    hopeful = (F.col("k") >= F.least(F.lit(common), F.col("c"))) & (F.col("k") + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= F.col("c"))
+    pairs = met.where(hopeful).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    one = classes.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("members").alias("members_a"))
+    two = classes.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("members").alias("members_b"))
     share = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("overlap", share)
-    return joined.where((F.col("overlap") >= limit) | (F.col("fa") == F.col("fb"))).select("a", "b", "overlap")
+    return pairs.join(one, "a").join(two, "b").withColumn("overlap", share).where(F.col("overlap") >= limit).select("a", "b", "overlap", "members_a", "members_b")
 
 
 def _set_keys(members: DataFrame) -> DataFrame:

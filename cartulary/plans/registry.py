@@ -265,7 +265,7 @@ def dup_totals(spark, sf_dir):
 
 _DOC = "category = 'Documents'"
 _NAME_GROUPS = sql.groups("files", sql.NORMALISED, "similar_document", "name", "byname", _DOC)
-_TEXT_GROUPS = sql.groups("files", f"case when size = 0 then 'empty' when size > 40000000 then null else {sql.FINGERPRINT} end", "similar_document", "content", "bytext", _DOC)
+_TEXT_GROUPS = sql.groups("files", f"case when size = 0 then 'empty' else {sql.FINGERPRINT} end", "similar_document", "content", "bytext", _DOC)
 
 
 def _documents(files: DataFrame) -> DataFrame:
@@ -313,7 +313,19 @@ def near_look(spark, sf_dir):
     return duplicates.near_look(_media(spark, sf_dir), prefix=1, distance=20, most=None).select(*_MEMBER_COLS)
 
 
-@query()
+_TOKEN_SETS = sql.DOCS + f", s as (select id, list_sort({_TOKENS}) as t from files where len({_TOKENS}) > 0), c as (select t, min(id) as class_id, count(*) as members from s group by t)"
+
+
+@query(_TOKEN_SETS + " select id, class_id, members from s join c using (t)")
+def token_classes(spark, sf_dir):
+    return duplicates.token_classes(_docs(spark, sf_dir))
+
+
+@query(
+    _TOKEN_SETS + ", k as (select class_id as id, members, len(t) as n, unnest(t) as token from c), "
+    "o as (select x.id as a, y.id as b, count(*) as k, any_value(least(x.n, y.n)) as n, any_value(x.members) as members_a, any_value(y.members) as members_b from k x join k y on x.token = y.token and x.id < y.id group by 1, 2) "
+    "select a, b, k / n as overlap, members_a, members_b from o where k / n >= 0.72::double"
+)
 def token_overlap(spark, sf_dir):
     return duplicates.token_overlap(_docs(spark, sf_dir))
 

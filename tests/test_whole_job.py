@@ -44,10 +44,40 @@ def test_long_texts_are_compared_whole(spark):
     texts = [same + [word("mine", k) for k in range(2500)], same + [word("yours", k) for k in range(2500)], [word("front", k) for k in range(2000)] + same * 2 + [word("last", k) for k in range(5500)], [word("last", k) for k in range(5500)]]
     files = _files(spark, [(i, f"/r/{i}.txt", 50_000_000, float(i), "/r", " ".join(t), None) for i, t in enumerate(texts)] + [(9, "/r/9.txt", 50_000_000, 9.0, "/r", " ".join(texts[0]), None)])
     found = {(r.a, r.b): r.overlap for r in duplicates.token_overlap(files).collect()}
-    assert found == {(0, 9): 1.0, (2, 3): 1.0}
+    assert found == {(2, 3): 1.0}
+    classes = {r.id: (r.class_id, r.members) for r in duplicates.token_classes(files).collect()}
+    assert classes == {0: (0, 2), 9: (0, 2), 1: (1, 1), 2: (2, 1), 3: (3, 1)}
     assert sorted(r.id for r in duplicates.by_text(files).collect()) == [0, 9]
 
 
+def test_token_overlap_equals_all_pairs(spark):
+    rng = random.Random(4)
+    common = [f"word{k}" for k in range(60)]
+    texts = []
+    for k in range(150):
+        own = rng.sample(common, rng.randint(0, 30)) + [f"rare{rng.randint(0, 40)}" for _ in range(rng.randint(0, 8))]
+        texts.append(" ".join(own))
+        if k % 5 == 0:
+            texts.append(" ".join(reversed(own)))
+        if k % 4 == 0:
+            texts.append(" ".join(own[: len(own) * 3 // 4] + ["more"] * (k % 3)))
+    files = _files(spark, [(i, f"/r/{i}.txt", 1, 0.0, "/r", t, None) for i, t in enumerate(texts)] + [(900, "/r/n", 1, 0.0, "/r", None, None)])
+    first, members = {}, {}
+    for i, t in enumerate(texts):
+        key = frozenset(w for w in t.split() if len(w) >= 4)
+        if key:
+            first.setdefault(key, i)
+            members[first[key]] = members.get(first[key], 0) + 1
+    want = {}
+    for x, i in first.items():
+        for y, j in first.items():
+            if i < j and (v := len(x & y) / min(len(x), len(y))) >= 0.72:
+                want[i, j] = (v, members[i], members[j])
+    for common_tokens in (1, 6):
+        rows = duplicates.token_overlap(files, common=common_tokens).collect()
+        assert {(r.a, r.b): (r.overlap, r.members_a, r.members_b) for r in rows} == want and len(rows) == len(want) > 20
+
+
 def test_text_files_are_read_whole(spark, tmp_path):
     (tmp_path / "a.txt").write_text("ab " * 3_000_000)
     assert len(archives.read_texts(spark, str(tmp_path)).first().text) == 9_000_000
