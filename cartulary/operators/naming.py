@@ -1,24 +1,24 @@
-"""Collision-free names in plan order.
+"""Collision-free names in plan order, by the arithmetic of gaps.
 
-Rows that want one path are numbered by a window over that path. Only where a numbered name is itself wanted or there already does the order
-of other rows matter; such paths are found by joining the numbered names back. They alone need the sequential rule, which streams their rows
-in plan order, folder and family (the name without its ``_<number>`` endings) by family. It remembers names, not rows.
+A row gets the name it wants if that is free; else the first free one of ``stem_1.ext``, ``stem_2.ext``, ... A name is taken by the files already there, by
+the first row that wants it, or by a row that is numbered onto it, whichever is first.
+
+Of one wanted path, the rows that need a number are ranked in plan order; the j-th of them gets the j-th free number. Which numbers are not free is known from
+the few paths that look numbered and are wanted or there (``_links``): with the blocked numbers e_1 < e_2 < ... the j-th free one is j plus the number of blocked e_i
+with e_i - (i - 1) <= j, a rank in the merged order of both. A link whose name the plan wants only later than the row that comes to it is not
+blocked: that row takes it, and the rows that want it all need numbers. Which of both happens depends on times that depend on other links, so it is settled in
+rounds of joins until nothing changes; links are settled in the order of time, and most stand in the first round.
+
+No row holds a list of numbers, and neither a name's rows nor a family's are gathered in a task: ranks and sums within hot keys are made range by range.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cartulary.functions import names
-from cartulary.scratch import cut
-
-
-def family(name: Column) -> Column:
-    return F.regexp_replace(name, r"(_\d+)+(?=\.[^.]*$|$)", "")
+from cartulary.operators.ranks import HOT, running
+from cartulary.scratch import cut, drop
 
 
 def _numbered(name: Column, k: Column) -> Column:
@@ -29,80 +29,93 @@ def _numbered_path(path: Column, k: Column) -> Column:
     return F.concat(names.parent(path), F.lit("/"), _numbered(names.basename(path), k))
 
 
-def _base(path: Column) -> Column:
-    """The path whose numbering can make this one, or null."""
+def _bases(path: Column) -> Column:
+    """The paths whose numbering can make this one, each with its number: at most two, as ``a_2._1`` is both the second of ``a._1`` and the first of ``a_2.``."""
     name = names.basename(path)
-    stem = F.regexp_extract(names.stem(name), r"(?s)^(.+)_[1-9]\d*$", 1)
-    return F.when(stem != "", F.concat(names.parent(path), F.lit("/"), stem, names.suffix(name)))
+    pattern = r"(?s)^(.+)_([1-9]\d{0,17})$"
+    inner = F.struct(F.concat(names.parent(path), F.lit("/"), F.regexp_extract(names.stem(name), pattern, 1), names.suffix(name)).alias("base"), F.regexp_extract(names.stem(name), pattern, 2).alias("k"))
+    bare = F.regexp_extract(name, pattern, 1)
+    outer = F.struct(F.concat(names.parent(path), F.lit("/"), bare).alias("base"), F.regexp_extract(name, pattern, 2).alias("k"))
+    both = F.array(inner, F.when((names.suffix(bare) == "") & (names.suffix(name) != ""), outer))
+    return F.filter(both, lambda x: x.isNotNull() & (x["k"] != ""))
 
 
-def _wanted(plan: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """destination, n rows that want it, whether it is there, and m names of the plan or there that its numbering could make."""
-    rows = plan.select("destination", F.lit(1).cast("long").alias("n"), F.lit(False).alias("there"))
-    if existing is not None:
-        rows = rows.unionByName(existing.select("destination", F.lit(0).cast("long").alias("n"), F.lit(True).alias("there")))
-    paths = cut(rows.groupBy("destination").agg(F.sum("n").alias("n"), F.max("there").alias("there")), "paths")
-    made = paths.select(_base(F.col("destination")).alias("destination")).where("destination is not null").groupBy("destination").agg(F.count(F.lit(1)).alias("m"))
-    return cut(paths.join(made, "destination", "left").withColumn("m", F.coalesce("m", F.lit(0))), "wanted")
+def _links(paths: DataFrame) -> DataFrame:
+    """base, k, name: wanted or present names that the numbering of a wanted path can come to; first: the first row that wants the name; there: whether it is present."""
+    named = paths.select(F.col("destination").alias("name"), "first", "there", F.explode(_bases(F.col("destination"))).alias("_b"))
+    found = named.select(F.col("_b.base").alias("base"), F.col("_b.k").cast("long").alias("k"), "name", "first", "there")
+    wanted = paths.where("n > 0").select(F.col("destination").alias("base"), F.col("n").alias("_n"))
+    known = cut(found.join(wanted, "base"), "links")
+    # n rows pass over m names at most
+    most = known.groupBy("base").agg(F.count(F.lit(1)).alias("_m"))
+    return known.join(most, "base").where(F.col("k") <= F.col("_n") + F.col("_m")).select("base", "k", "name", "first", "there")
 
 
-def colliding(paths: DataFrame) -> DataFrame:
-    """The destinations of _wanted that a numbered name meets, and those whose numbering meets them.
+def _reached(links: DataFrame, state: DataFrame, paths: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
+    """links with takes: the order number of the row that takes the name, null if none does, under the present state (base, k, name, blocked).
 
-    n rows pass over m names at most, so numbers up to n + m are tried. A path met may lose its name and number its own rows: the next round's.
+    A link of number k is reached by the row in need number j = k - the blocked ones before it.
     """
-    # "x._1" comes of "x." as well as being a name with the ending "._1": such families go whole
-    dotted = paths.where(F.endswith("destination", F.lit("."))).select(*_key()).distinct()
-    slow = paths.withColumns(dict(zip(("_folder", "_family"), _key(), strict=True))).join(dotted, ["_folder", "_family"], "left_semi").select("destination")
-    front = paths.where("n >= 2 or n >= 1 and there")
+    counted = running(cut(state, "state"), ["base"], [F.col("k")], "_before", F.col("blocked").cast("int"), hot)
+    lost = paths.where("there").select("destination").unionByName(state.where("not blocked").select(F.col("name").alias("destination"))).distinct()
+    sized = paths.select(F.col("destination").alias("base"), F.col("n").alias("_n"))
+    needs = counted.join(lost.select(F.col("destination").alias("base"), F.lit(1).alias("_lost")), "base", "left").join(sized, "base")
+    # ranks are from 0; the first row of a path that is not lost keeps its name
+    at = F.col("k") - F.col("_before") - F.coalesce("_lost", F.lit(0))
+    asked = needs.withColumn("_rank", at).where(F.col("_rank") < F.col("_n")).select("base", "k", "name", "_rank")
+    met = asked.join(rows.select(F.col("destination").alias("base"), F.col("_rank"), F.col("ord").alias("takes")), ["base", "_rank"])
+    return links.join(met.select("base", "k", "name", "takes"), ["base", "k", "name"], "left")
+
+
+def _settled(links: DataFrame, paths: DataFrame, rows: DataFrame, hot: int) -> DataFrame:
+    """base, k, name, blocked for every link: whether its name is taken when the numbering comes to it (or never comes)."""
+    state = links.select("base", "k", "name", F.lit(True).alias("blocked"))
     while True:
-        made = front.select(F.col("destination").alias("base"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.col("m"))).alias("k"))
-        met = cut(made.select("base", _numbered_path(F.col("base"), F.col("k")).alias("destination")).join(paths, "destination"), "met")
-        if met.isEmpty():
-            return slow.distinct()
-        slow = slow.unionByName(met.select("destination")).unionByName(met.select(F.col("base").alias("destination")))
-        front = met.where("n = 1 and not there").select(*paths.columns)
-
-
-def _key() -> list[Column]:
-    return [names.parent(F.col("destination")).alias("_folder"), family(names.basename(F.col("destination"))).alias("_family")]
-
-
-def unique_names(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """plan (ord, id, destination) with final_destination and renamed. existing: destination, the files already there."""
-    paths = _wanted(plan, existing)
-    slow = cut(colliding(paths), "colliding")
-    there = paths.where("n > 0 and there").select("destination", F.lit(1).alias("_first"))
-    quick = plan.where("destination is not null").join(slow, "destination", "left_anti").join(there, "destination", "left")
-    columns = [*plan.columns, "final_destination"]
-    k = F.row_number().over(Window.partitionBy("destination").orderBy("ord")) - 1 + F.coalesce("_first", F.lit(0))
-    fast = quick.withColumn("final_destination", _numbered_path(F.col("destination"), k)).select(*columns)
-    rows = plan.join(slow, "destination", "left_semi").select("ord", *_key(), names.basename(F.col("destination")).alias("_name"), F.lit(False).alias("_taken"))
-    taken = paths.where("there").join(slow, "destination", "left_semi")
-    rows = rows.unionByName(taken.select(F.lit(None).cast("long").alias("ord"), *_key(), names.basename(F.col("destination")).alias("_name"), F.lit(True).alias("_taken")))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, used, counters = None, set(), {}
-        for batch in batches:
-            ords, finals = [], []
-            for ord_, folder, kin, name, there in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (folder, kin) != key:
-                    key, used, counters = (folder, kin), set(), {}
-                final = name
-                if not there and name in used:
-                    m = re.match(r"^(.+)(\.[^.]+)$", name, re.S)
-                    stem, ext = (m[1], m[2]) if m else (name, "")
-                    k = counters.get(name, 0) + 1
-                    while f"{stem}_{k}{ext}" in used:
-                        k += 1
-                    counters[name], final = k, f"{stem}_{k}{ext}"
-                used.add(final)
-                if not there:
-                    ords.append(ord_)
-                    finals.append(f"{folder}/{final}")
-            yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(finals, pa.string())], names=["ord", "final_destination"])
-
-    order = ["_folder", "_family", F.desc("_taken"), "ord"]
-    done = rows.repartition("_folder", "_family").sortWithinPartitions(*order).mapInArrow(assign, "ord long, final_destination string")
-    mixed = plan.join(done, "ord").select(*columns)
-    return fast.unionByName(mixed).withColumn("renamed", F.col("final_destination") != F.col("destination"))
+        come = cut(_reached(links, state, paths, rows, hot), "reached")
+        # a name of two bases is taken by the earlier comer
+        firsts = come.where("takes is not null").groupBy("name").agg(F.min("takes").alias("_first"))
+        judged = come.join(firsts, "name", "left").select(
+            "base", "k", "name", (F.col("takes").isNull() | F.col("there") | F.coalesce(F.col("first") < F.col("takes"), F.lit(False)) | (F.col("_first") < F.col("takes"))).alias("blocked")
+        )
+        step = cut(judged, "settled")
+        changed = step.join(state.select("base", "k", "name", F.col("blocked").alias("_was")), ["base", "k", "name"]).where("blocked <> _was").limit(1).count()
+        drop(come)
+        state = step
+        if not changed:
+            return state
+
+
+def unique_names(plan: DataFrame, existing: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """plan (ord unique, id, destination) with final_destination and renamed. existing: destination, the files already there. Rows without a destination go.
+
+    A path with more rows or numbered names than ``hot`` is ranked range by range.
+    """
+    wanted = cut(plan.where("destination is not null"), "plan")
+    rows = cut(running(wanted, ["destination"], [F.col("ord")], "_rank", hot=hot), "ranked")
+    found = rows.groupBy("destination").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    if existing is None:
+        paths = found.withColumn("there", F.lit(False))
+    else:
+        held = existing.where("destination is not null").select("destination").distinct().withColumn("there", F.lit(True))
+        paths = found.join(held, "destination", "full").select("destination", F.coalesce("n", F.lit(0)).alias("n"), "first", F.coalesce("there", F.lit(False)).alias("there"))
+    paths = cut(paths, "paths")
+    links = cut(_links(paths), "links")
+    columns = plan.columns
+    lost = paths.where("n > 0 and there").select("destination")
+    if links.isEmpty():
+        ranked = rows.join(lost.withColumn("_lost", F.lit(1)), "destination", "left").withColumn("_k", F.col("_rank") + F.coalesce("_lost", F.lit(0)))
+    else:
+        narrow = cut(rows.join(links.select(F.col("base").alias("destination")).distinct(), "destination", "left_semi").select("destination", "_rank", "ord"), "linked")
+        state = _settled(links, paths, narrow, hot)
+        lost = lost.unionByName(state.where("not blocked").select(F.col("name").alias("destination"))).distinct()
+        numbered = cut(rows.join(lost.withColumn("_lost", F.lit(1)), "destination", "left").withColumn("_k", F.col("_rank") + F.coalesce("_lost", F.lit(0))).drop("_lost"), "numbered")
+        blocked = state.where("blocked").select(F.col("base").alias("destination"), F.col("k"))
+        # the i-th blocked number stands before the row of need number e_i - (i - 1)
+        gaps = running(cut(blocked.distinct(), "blocked"), ["destination"], [F.col("k")], "_i", hot=hot).select("destination", (F.col("k") - F.col("_i")).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(plan.schema["ord"].dataType).alias("ord"))
+        touched = blocked.select("destination").distinct()
+        needy = numbered.where("_k > 0").join(touched, "destination", "left_semi").select("destination", F.col("_k").alias("_at"), F.lit(1).alias("_kind"), "ord")
+        merged = running(cut(gaps.unionByName(needy), "merged"), ["destination"], [F.col("_at"), F.col("_kind")], "_place", hot=hot)
+        final = merged.where("_kind = 1").select("ord", (F.col("_place") + 1).alias("_final"))
+        ranked = numbered.join(final, "ord", "left").withColumn("_k", F.coalesce("_final", "_k"))
+    named = ranked.withColumn("final_destination", _numbered_path(F.col("destination"), F.col("_k")))
+    return named.select(*columns, "final_destination").withColumn("renamed", F.col("final_destination") != F.col("destination"))

@@ -516,7 +516,10 @@ def unique_names(spark, sf_dir):
     return naming.unique_names(_items_plan(spark, sf_dir)).select("final_destination", "renamed")
 
 
-@query()
+@query(
+    _ITEM_PLAN + ", t as (select distinct category, name from files where id % 11 = 0), e as (select p.category, p.name, p.k + (t.name is not null)::int as k from p left join t on p.category = t.category and p.name = t.name) "
+    f"select '{sql.ROOT}/' || category || '/' || ({_NUMBERED}) as final_destination, k > 0 as renamed from e"
+)
 def unique_names_existing(spark, sf_dir):
     rows = _items_plan(spark, sf_dir)
     taken = rows.where("id % 11 = 0").select("destination").distinct()

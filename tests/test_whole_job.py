@@ -2,9 +2,12 @@
 
 import random
 
-from cartulary.operators import duplicates, naming
+from pyspark.sql import functions as F
+
+from cartulary.operators import duplicates, naming, ranks
 from cartulary.plans import registry
 from cartulary.schema import as_files
+from cartulary.scratch import cut
 from cartulary.sources import archives
 
 
@@ -83,11 +86,60 @@ def test_text_files_are_read_whole(spark, tmp_path):
     assert len(archives.read_texts(spark, str(tmp_path)).first().text) == 9_000_000
 
 
-def test_only_colliding_names_are_sequential(spark):
+def _sequential(wanted, taken):
+    """The rule itself, one row after another."""
+    used, finals = set(taken), []
+    for path in wanted:
+        final, k = path, 0
+        folder, name = path.rsplit("/", 1)
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
+        while final in used:
+            k += 1
+            final = f"{folder}/{stem}_{k}{ext}"
+        used.add(final)
+        finals.append(final)
+    return finals
+
+
+def _unique(spark, wanted, taken=(), hot=1 << 18):
+    plan = spark.createDataFrame([(i, i, d) for i, d in enumerate(wanted)], "ord long, id long, destination string").repartition(3)
+    existing = spark.createDataFrame([(t,) for t in taken], "destination string") if taken else None
+    got = {r.ord: r.final_destination for r in naming.unique_names(plan, existing, hot).collect()}
+    return [got[i] for i in range(len(wanted))]
+
+
+def test_numbers_between_numbered_names(spark):
     roll = [f"/d/IMG_{k}.jpg" for k in range(1, 41)] * 3 + ["/d/IMG.jpg", "/d/a.jpg", "/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg", "/d/a_7.jpg"]
-    plan = spark.createDataFrame([(i, i, d) for i, d in enumerate(roll)], "ord long, id long, destination string")
-    paths = naming._wanted(plan, None)
-    assert {r.destination for r in naming.colliding(paths).collect()} == {"/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg"}
-    got = {r.ord: r.final_destination for r in naming.unique_names(plan).collect()}
-    assert got[40] == "/d/IMG_1_1.jpg" and got[80] == "/d/IMG_1_2.jpg" and len(set(got.values())) == len(roll)
-    assert [got[i] for i in range(121, 126)] == ["/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg", "/d/a_1_1_1.jpg", "/d/a_7.jpg"]
+    got = _unique(spark, roll)
+    assert got == _sequential(roll, [])
+    assert got[40] == "/d/IMG_1_1.jpg" and got[80] == "/d/IMG_1_2.jpg" and len(set(got)) == len(roll)
+    assert got[121:126] == ["/d/a.jpg", "/d/a_1.jpg", "/d/a_1_1.jpg", "/d/a_1_1_1.jpg", "/d/a_7.jpg"]
+
+
+def test_names_equal_the_sequential_rule(spark):
+    """Families whose numbered names are wanted before, between and after those that number onto them, with and without files there, hot keys and not."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        pool = ["/d/a.x", "/d/a_1.x", "/d/a_2.x", "/d/a_3.x", "/d/a_1_1.x", "/d/a_2_1.x", "/d/b.", "/d/b._1", "/d/b_1.", "/d/b_1._1", "/d/b_2._1", "/d/c", "/d/c_1", "/d/c_01", "/e/a.x"]
+        wanted = rng.choices(pool, k=120)
+        taken = rng.sample([*pool, "/d/a_5.x", "/d/c_2", "/d/c_4"], 5) if seed % 2 else []
+        assert _unique(spark, wanted, taken, hot=3 if seed > 1 else 1 << 18) == _sequential(wanted, taken)
+
+
+def test_no_task_holds_a_hot_key(spark, tmp_path, monkeypatch):
+    """One name that nearly all rows want: the ranges of its rows are many, and none is most of them."""
+    made = {}
+    monkeypatch.setattr(ranks, "cut", lambda df, name: made.setdefault(name, cut(df, name)))
+    rows = spark.range(60_000).selectExpr("id as ord", "case when id % 100 = 0 then 'other' else 'hot' end as key")
+    rows.write.parquet(f"{tmp_path}/rows")
+    ranked = ranks.running(spark.read.parquet(f"{tmp_path}/rows"), ["key"], [F.col("ord")], "r", hot=1000)
+    per = [r["count"] for r in made["ranges"].groupBy("key", "_range").count().collect()]
+    assert sum(per) == 59_400 and len(per) >= 4 and max(per) < 30_000
+    got = sorted((r.key, r.ord, r.r) for r in ranked.collect())
+    want, seen = [], {}
+    for k in range(60_000):
+        key = "other" if k % 100 == 0 else "hot"
+        want.append((key, k, seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + 1
+    assert got == sorted(want)
