@@ -3,7 +3,7 @@
 Only confirmed toxic examples and unlabelled text are learnt from. Features are whole words, beginnings of words of 4 to 9 characters and character
 5-grams of words with their ends marked, each present in a text or not.
 
-* Candidates: features of many positive examples. How many documents hold each is then counted over all documents, in one pass that keeps a count a
+* Candidates: features that more positive examples hold than unlabelled ones do, by a sample. How many documents hold each is then counted over all documents, in one pass that keeps a count a
   candidate in each task. A feature's ``share`` estimates how many of the documents that hold it are toxic: the class prior times its frequency in positives
   over its frequency in all documents, drawn towards the prior by ``SHRINK`` documents and lowered by ``CAUTION`` standard errors of the count in positives.
 * A text is described by how many of its features fall into each of a few bins of that share, as logarithms, and by how many distinct words it has. So what is
@@ -43,7 +43,8 @@ LIMIT = 0.3
 MAX_POSITIVE = 8192
 MAX_UNLABELLED = 16384
 MAX_CANDIDATES = 1 << 17
-LEAST_POSITIVE = 3
+LEAST_POSITIVE = 7
+LEAST_CONTRAST = 1.5
 SHRINK = 10.0
 CAUTION = 2.0
 BINS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -51,38 +52,41 @@ GRAM = 5
 BEGINNINGS = range(4, 10)
 LONG_WORD = 64
 PIECE = 1 << 20
-CACHE = 200_000
+CACHE = 400_000
 STEPS, RATE, L2, BACK = 1500, 0.02, 1e-3, 1.0
 
-WORD = re.compile(r"[^\W_]+")
+#: Bytes of words; all others a blank.
+WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+BLANK = re.compile(r"[\x00-\x7f](?<![A-Za-z0-9])")
 
 
 def _pieces(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
         end = at + PIECE
-        if end < len(text) and (rest := WORD.match(text, end)):
-            end = rest.end()
+        if end < len(text):
+            end = m.start() if (m := BLANK.search(text, end)) else len(text)
         yield text[at:end]
         at = end
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words of a whole text."""
-    found: set[str] = set()
+def words_of(text: str | None) -> set[bytes]:
+    """Distinct lower-case words of a whole text, as UTF-8: runs of ASCII letters and digits and of all characters beyond ASCII."""
+    found: set[bytes] = set()
     for piece in _pieces(text or ""):
-        found.update(WORD.findall(piece.lower()))
+        found.update(piece.lower().encode("utf-8", "replace").translate(WORD_BYTES).split())
     return found
 
 
-def features_of(word: str) -> set[str]:
-    """A word with its ends marked, its beginnings and character n-grams. Words of more than ``LONG_WORD`` characters (scripts without blanks) are no
-    features as a whole."""
-    marked = f"<{word}>"
-    found = {marked[k : k + GRAM] for k in range(len(marked) - GRAM + 1)}
-    found.update(marked[: k + 1] for k in BEGINNINGS if k < len(word))
-    if len(word) <= LONG_WORD:
-        found.add(marked)
+def features_of(word: bytes) -> list[str]:
+    """A word with its ends marked, its beginnings and character n-grams, some twice. Words of more than ``LONG_WORD`` characters (scripts without blanks) are
+    no features as a whole."""
+    marked = f"<{word.decode()}>"
+    size = len(marked)
+    found = [marked[k : k + GRAM] for k in range(size - GRAM + 1)]
+    found += [marked[: k + 1] for k in BEGINNINGS if k < size - 2]
+    if size <= LONG_WORD + 2:
+        found.append(marked)
     return found
 
 
@@ -91,7 +95,7 @@ class Places:
 
     def __init__(self, vocabulary: list[str]):
         self.number = {f: k for k, f in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def of_text(self, text: str | None) -> tuple[np.ndarray, int]:
         """The places of its features, sorted, and the number of its distinct words."""
@@ -123,30 +127,39 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def _candidates(positive: DataFrame, least: int, most: int) -> list[str]:
-    """Features that the most positive texts hold."""
+def _candidates(sampled: DataFrame, positive: int, plain: int) -> list[str]:
+    """Features of ``LEAST_POSITIVE`` or more positive texts that these hold ``LEAST_CONTRAST`` times as often as a part of the unlabelled sample, in the order of that
+    contrast. sampled: text, role. positive, plain: how many rows there are of both kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_tables()
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = Counter(), Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, own in enumerate(counts):
+                if own:
+                    number = pa.array(list(own.values()), pa.int64())
+                    none = pa.array(np.zeros(len(own), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), *((none, number) if k else (number, none))], names=["feature", "n", "m"])
+                own.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, role in zip(batch.column("text").to_pylist(), batch.column("role").to_pylist(), strict=True):
                 held: set[str] = set()
                 for word in words_of(text):
-                    held |= features_of(word)
-                counts.update(held)
-                if len(counts) > CACHE:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+                    held.update(features_of(word))
+                if role[0] == "p":
+                    counts[0].update(held)
+                if role[-1] == "v":
+                    counts[1].update(held)
+            if len(counts[0]) + len(counts[1]) > CACHE:
+                yield from out()
+        yield from out()
 
-    rows = positive.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r.feature for r in rows.orderBy(F.desc("n"), "feature").limit(most).collect()]
+    summed = sampled.select("text", "role").mapInArrow(run, "feature string, n long, m long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    contrast = (F.col("n") / positive) / ((F.col("m") + 1) / (plain + 1))
+    rows = summed.where(F.col("n") >= LEAST_POSITIVE).withColumn("contrast", contrast).where(F.col("contrast") >= LEAST_CONTRAST)
+    return [r.feature for r in rows.orderBy(F.desc("contrast"), "feature").limit(MAX_CANDIDATES).select("feature").collect()]
 
 
 def _counted(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -226,10 +239,12 @@ def learn(
     half = F.when(F.pmod(F.xxhash64(F.lit(13), "_i"), F.lit(2)) == 0, "p0").otherwise("p1")
     positive = drawn(known.where("_y = 1").select("_i").join(ids, "_i", "left_semi"), 11, max_positive).withColumn("_p", half)
     # a row may be drawn for both
-    sample = cut(positive.join(drawn(ids, 12, max_unlabelled).withColumn("_u", F.lit("u")), "_i", "full").select("_i", F.concat_ws("", "_p", "_u").alias("role")), "sample")
+    some = F.when(F.pmod(F.xxhash64(F.lit(14), "_i"), F.lit(4)) == 0, "uv").otherwise("u")
+    sample = cut(positive.join(drawn(ids, 12, max_unlabelled).withColumn("_u", some), "_i", "full").select("_i", F.concat_ws("", "_p", "_u").alias("role")), "sample")
     drop(known)
     flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("_id") == F.col("_i"), "left").select("text", "role")
-    vocabulary = _candidates(flagged.where("role like 'p%'"), LEAST_POSITIVE, MAX_CANDIDATES)
+    n_positive, n_plain = sample.agg(F.count_if(F.col("role").startswith("p")), F.count_if(F.col("role").endswith("v"))).collect()[0]
+    vocabulary = _candidates(flagged.where("role like 'p%' or role like '%v'"), n_positive, n_plain) if n_positive else []
     if not vocabulary:
         drop(sample)
         return nothing
@@ -271,7 +286,7 @@ def learn(
     x = described(np.array([r.counts for r in found]).reshape(-1, len(BINS)), np.array([r.n for r in found]))
     roles = np.array([r.role for r in found])
     # the order of rows from Spark is not fixed: sums shall be
-    x_p, x_u = (m[np.lexsort(m.T)] for m in (x[np.char.startswith(roles, "p")], x[np.char.endswith(roles, "u")]))
+    x_p, x_u = (m[np.lexsort(m.T)] for m in (x[np.char.startswith(roles, "p")], x[np.char.find(roles, "u") >= 0]))
     if not len(x_p) or not len(x_u):
         return nothing
     weights = fit(x_p, x_u, prior)
