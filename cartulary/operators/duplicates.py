@@ -1,7 +1,7 @@
-"""Duplicate groups. Members are rows (gid, kind, reason, keep_rank, ...); no group is ever gathered into one value.
+"""Duplicate groups. Members are rows (gid, kind, reason, keep_rank, ...); no group is ever gathered into one value or one task.
 
-Groups of equal keys are found by counting over the key, which is one shuffle and sorts within a key with spilling; the counts are
-joined from a grouped sum that is combined before its shuffle, so a hot key costs no memory.
+Keys are made once, where the content is read, and written without it. Groups of equal keys are found by a count that is combined before its shuffle; the rows of
+a key that very many files share (empty files, say) are ranked range by range.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cartulary.functions import contents, names
 from cartulary.operators.closure import components
 from cartulary.operators.index import disk_only, is_document, is_photo, same_size
+from cartulary.operators.ranks import HOT, running
 from cartulary.scratch import cut
 
 #: Rows of one hash list that are compared with one another under one join key.
 TILE = 2048
+LEAST_BAND = 4
 KINDS = {"exact": "Exact copies", "similar_photo": "Similar photos", "similar_document": "Similar documents"}
 MEMBER_COLUMNS = ["gid", "kind", "reason", "id", "path", "display_path", "size", "modified", "category", "archive_container", "keep_rank"]
 
@@ -25,12 +27,11 @@ def _shown(files: DataFrame) -> DataFrame:
     return files.withColumn("display_path", names.display_path(F.col("path"), F.col("archive_container"), F.col("archive_member")))
 
 
-def grouped(files: DataFrame, key: Column, kind: str, reason: str) -> DataFrame:
+def grouped(files: DataFrame, key: Column, kind: str, reason: str, hot: int = HOT) -> DataFrame:
     """Members of the groups of two or more rows with one key (null and empty keys don't group). keep_rank 0 is the oldest."""
-    keyed = _shown(files).withColumn("gid", key).where("gid is not null and gid <> ''")
+    keyed = cut(_shown(files).select(key.alias("gid"), *MEMBER_COLUMNS[3:-1]), "keys").where("gid is not null and gid <> ''")
     many = keyed.groupBy("gid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gid")
-    order = Window.partitionBy("gid").orderBy("modified", "display_path", "id")
-    ranked = keyed.join(many, "gid", "left_semi").withColumn("keep_rank", F.row_number().over(order) - 1)
+    ranked = running(keyed.join(many, "gid", "left_semi"), ["gid"], [F.col("modified"), F.col("display_path"), F.col("id")], "keep_rank", hot=hot)
     return ranked.select(F.col("gid"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), *MEMBER_COLUMNS[3:])
 
 
@@ -90,23 +91,35 @@ def _lists(files: DataFrame, prefix: int, most: int | None) -> DataFrame:
     return keyed.join(lists, "p", "left_semi")
 
 
-def _close_pairs(rows: DataFrame, key: str, distance: int) -> DataFrame:
+def _close_pairs(rows: DataFrame, key: str, distance: int, prefix: int) -> DataFrame:
     """(a, b, distance) with a < b: keys of the rows (key, visual_hash, p) of one p whose hashes differ in ``distance`` bits at most.
 
-    A list of more than ``TILE`` rows is cut into blocks, and each pair of blocks is a join key of its own: every pair of the list is compared
-    once, and no task gets more than two blocks of it at a time.
+    The bits behind the prefix are cut into distance + 1 bands; two hashes within the distance agree in one band at least, so they meet there, in the first
+    that they agree in. Bands of fewer than ``LEAST_BAND`` bits would let nearly all pairs meet, several times: for such distances a list is compared block by
+    block, and each pair of blocks is a join key of its own, so no task gets more than two blocks at a time.
     """
-    large = rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_blocks")).where("_blocks > 1")
     hexes = F.lower("visual_hash").rlike("^[0-9a-f]{1,16}$")
     bits = F.conv("visual_hash", 16, -10).cast("long")
-    cut_up = rows.where(hexes & F.col(key).isNotNull()).join(F.broadcast(large), "p", "left").select(
-        F.col(key).alias("k"), "p", F.length("visual_hash").alias("l"), bits.alias("v"), F.coalesce("_blocks", F.lit(1)).alias("_blocks")
-    )
+    keyed = rows.where(hexes & F.col(key).isNotNull()).select(F.col(key).alias("k"), "p", F.length("visual_hash").alias("l"), bits.alias("v"))
+    width = (64 - 4 * prefix) // (distance + 1)
+    apart = F.bit_count(F.col("vx").bitwiseXOR(F.col("vy")))
+    if width >= LEAST_BAND:
+        # shorter hashes have their bits at the low end: bands from there reach all bits of both
+        cuts = [(k * width, 64 - distance * width if k == distance else width) for k in range(distance + 1)]
+        mask = lambda n: F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
+        band = lambda c, at, n: F.shiftrightunsigned(c, at).bitwiseAND(mask(n))
+        dealt = keyed.select("k", "p", "l", "v", F.posexplode(F.array(*[band(F.col("v"), at, n) for at, n in cuts])).alias("i", "part"))
+        first, second = (dealt.select("p", "l", "i", "part", F.col("k").alias(x), F.col("v").alias(f"v{x}")) for x in "xy")
+        both = F.col("vx").bitwiseXOR(F.col("vy"))
+        agree = F.coalesce(*[F.when(band(both, at, n) == 0, k) for k, (at, n) in enumerate(cuts)])
+        met = first.join(second, ["p", "l", "i", "part"]).where((F.col("x") < F.col("y")) & (apart <= distance) & (agree == F.col("i")))
+        return met.select(F.col("x").alias("a"), F.col("y").alias("b"), apart.alias("distance"))
+    large = rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_blocks")).where("_blocks > 1")
+    cut_up = keyed.join(F.broadcast(large), "p", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     placed = cut_up.withColumn("at", F.pmod(F.xxhash64("k"), F.col("_blocks")).cast("int"))
     first = placed.select("p", "l", F.col("k").alias("x"), F.col("v").alias("vx"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("_blocks") - 1)).alias("j"))
     second = placed.select("p", "l", F.col("k").alias("y"), F.col("v").alias("vy"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
-    apart = F.bit_count(F.col("vx").bitwiseXOR(F.col("vy")))
-    once = first.alias("f").join(second.alias("s"), ["p", "l", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (apart <= distance))
+    once = first.join(second, ["p", "l", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (apart <= distance))
     return once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), apart.alias("distance"))
 
 
@@ -115,14 +128,14 @@ def near_edges(files: DataFrame, prefix: int = 4, distance: int = 8, most: int |
 
     Every list is compared whole; ``most`` leaves out lists of more rows.
     """
-    return _close_pairs(_lists(files, prefix, most), "id", distance)
+    return _close_pairs(_lists(files, prefix, most), "id", distance, prefix)
 
 
 def near_look(files: DataFrame, prefix: int = 4, distance: int = 8, most: int | None = None) -> DataFrame:
     """Groups by transitive closure of near_edges, without those of one hash only. Equal hashes are one node of the closure."""
     keyed = _lists(files, prefix, most)
     nodes = keyed.select("visual_hash", "p").distinct().withColumn("h", F.col("visual_hash"))
-    closed = components(_close_pairs(nodes, "h", distance).select("a", "b"))
+    closed = components(_close_pairs(nodes, "h", distance, prefix).select("a", "b"))
     named = keyed.select("id", "visual_hash").join(closed, F.col("visual_hash") == F.col("key")).select("id", "comp")
     firsts = named.groupBy("comp").agg(F.concat(F.lit("near:"), F.min("id").cast("string")).alias("root"))
     return grouped(files.join(named.join(firsts, "comp").select("id", "root").distinct(), "id"), F.col("root"), "similar_photo", "near")
@@ -278,8 +291,8 @@ def prune(members: DataFrame, removed: DataFrame) -> DataFrame:
     """Members without removed paths, of groups that keep two or more; ranks in their old order."""
     left = members.join(removed.select("path").distinct(), "path", "left_anti")
     many = left.groupBy("gid", "kind", "reason").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    order = Window.partitionBy("gid", "kind", "reason").orderBy("keep_rank")
-    return left.join(many, ["gid", "kind", "reason"], "left_semi").withColumn("keep_rank", F.row_number().over(order) - 1).select(*MEMBER_COLUMNS)
+    kept = cut(left.join(many, ["gid", "kind", "reason"], "left_semi").withColumnRenamed("keep_rank", "_was"), "left")
+    return running(kept, ["gid", "kind", "reason"], [F.col("_was")], "keep_rank").select(*MEMBER_COLUMNS)
 
 
 def role(rank: Column) -> Column:

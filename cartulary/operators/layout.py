@@ -142,8 +142,9 @@ def filled(template: Column, name: Column) -> Column:
 
 
 def custom_destinations(files: DataFrame, rules: DataFrame, root: str, options: LayoutOptions) -> DataFrame:
-    """files with destination from one owner's rules (at most one row a category: a small table). Without a rule: the category's folder."""
-    small = rules.select(F.col("category").alias("_c"), F.col("template").alias("_t")).limit(1000)
+    """files with destination from one owner's rules (at most one row a category). Without a rule: the category's folder. Rules of categories that no file can
+    have say nothing, so what is broadcast has a row for each category at most, and one for ``*``."""
+    small = rules.select(F.col("category").alias("_c"), F.col("template").alias("_t")).where(F.col("_c").isin("*", *names.CATEGORIES))
     fallback = small.where("_c = '*'").agg(F.max("_t").alias("_any")).scalar()
     joined = prepared(files, options).join(F.broadcast(small), F.col("category") == F.col("_c"), "left").withColumn("_rule", F.coalesce("_t", fallback))
     raw, name = names.basename(F.col("path")), F.col("_name")

@@ -1,25 +1,65 @@
-"""Pairs of similar names: candidates share the first characters of their normalised names; the ratio is difflib's."""
+"""Pairs of similar names by difflib's ratio, 2 M / (|a| + |b|) with M matched characters.
+
+No pair over the limit is lost, by two bounds. What isn't matched is inserted or deleted: d = (1 - limit) (|a| + |b|) characters at most, each of which spoils two
+of a name's bigrams at most. And M is at most the number of characters that both have. So two names of ``SHORT`` characters or more
+share bigrams, two names of which one is shorter share characters, of which so many that some of the rarest of both are among them: names meet in these.
+Equal grams of a name are numbered, so that they are sets. For pairs that meet, the common characters are counted; the ratio itself is computed for what is left.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartulary.functions import names
+from cartulary.scratch import cut
+
+SHORT = 8
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _met(named: DataFrame, q: int, least: Column) -> DataFrame:
+    """Pairs (a, b) of names (a, l) that have a gram in common among the l - q + 2 - least rarest of both."""
+    grams = named.select("a", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("l") - q + 1), lambda i: F.substring("a", i, F.lit(q)))).alias("g"))
+    numbered = grams.withColumn("i", F.row_number().over(Window.partitionBy("a", "g").orderBy(F.lit(1)))).select("a", "l", F.concat("g", F.lit("#"), F.col("i").cast("string")).alias("g"))
+    numbered = cut(numbered, "grams")
+    often = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("df", "g"))
+    front = cut(numbered.join(often, "g").withColumn("r", place).where(F.col("r") <= F.col("l") - q + 2 - F.greatest(F.lit(1), least)).select("a", "l", "g"), "front")
+    return front.join(front.select(F.col("a").alias("b"), F.col("l").alias("m"), "g"), "g").where("a < b").select("a", "b", "l", "m").distinct()
 
 
-def similar_names(files: DataFrame, prefix: int = 4, limit: float = 0.82) -> DataFrame:
-    """(a, b, ratio) of distinct normalised names that share ``prefix`` characters and reach ``limit``; equal names are groups, not pairs."""
+def similar_names(files: DataFrame, limit: float = 0.82) -> DataFrame:
+    """(a, b, ratio) of distinct normalised names that reach ``limit``; equal names are groups, not pairs."""
+    if not 0.5 < limit <= 1:
+        raise ValueError("limit is over 0.5 and at most 1")
+    named = cut(files.select(names.normalised(names.basename(F.coalesce("archive_member", "path"))).alias("a")).where("a <> ''").distinct().withColumn("l", F.length("a")), "names")
+    loss = 1 - limit
+    # equal lengths ask for the fewest: l - 1 bigrams less two for each lost character
+    bigrams = F.col("l") - 1 - 2 * F.floor(2 * loss * F.col("l") + 1e-9)
+    letters = F.ceil(limit / (2 - limit) * F.col("l") - 1e-9)
+    # a partner of a name of under SHORT characters has at most so many
+    reach = int((SHORT - 1) * (2 - limit) / limit + 1e-9)
+    met = _met(named.where(F.col("l") >= SHORT), 2, bigrams).unionByName(_met(named.where(F.col("l") <= reach), 1, letters)).distinct()
+    total = F.col("l") + F.col("m")
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
+    common = sum((F.least(count("a", x), count("b", x)) for x in LETTERS[1:]), F.least(count("a", "a"), count("b", "a")))
+    hopeful = met.where(F.least("l", "m") * (2 - limit) >= F.greatest("l", "m") * limit - 1e-9).where(2 * common >= limit * total - 1e-9)
 
-    @pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = SequenceMatcher(None)
+        for batch in batches:
+            out, last = [], None
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                # what the matcher knows of its second name stays while that name does
+                if y != last:
+                    matcher.set_seq2(y)
+                    last = y
+                matcher.set_seq1(x)
+                out.append(matcher.ratio())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "ratio"])
 
-    one = files.select(names.normalised(names.basename(F.col("path"))).alias("a")).where("a <> ''").distinct().withColumn("p", F.substring("a", 1, prefix))
-    pairs = one.join(one.select(F.col("a").alias("b"), "p"), "p").where("a < b")
-    # a ratio of r needs lengths whose smaller is r / (2 - r) of the larger at least
-    near = pairs.where(F.least(F.length("a"), F.length("b")) >= F.greatest(F.length("a"), F.length("b")) * (limit / (2 - limit)))
-    return near.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= limit).select("a", "b", "ratio")
+    return hopeful.select("a", "b").mapInArrow(ratios, "a string, b string, ratio double").where(F.col("ratio") >= limit)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cartulary.functions import contents, formats, names
-from cartulary.operators import advise, duplicates, index, layout, naming, report
+from cartulary.operators import advise, duplicates, index, layout, naming, report, similar_names as similar
 from cartulary.plans import sql
+from cartulary.schema import as_files
 from cartulary.sources import fixtures
 
 QUERIES: dict = {}
@@ -283,8 +284,6 @@ def text_dups(spark, sf_dir):
 
 
 def _media(spark, sf_dir) -> DataFrame:
-    from cartulary.schema import as_files
-
     rows = fixtures.files_media(spark, sf_dir)
     return as_files(rows.select("id", "path", F.lit(1000).cast("long").alias("size"), F.col("id").cast("double").alias("modified"), contents.hash_of_bits(F.col("bits")).alias("visual_hash")))
 
@@ -313,6 +312,64 @@ def near_look(spark, sf_dir):
     return duplicates.near_look(_media(spark, sf_dir), prefix=1, distance=20, most=None).select(*_MEMBER_COLS)
 
 
+_PHOTOS = """with recursive v0 as (select vec_id, embedding[1:64] as grid from embeddings),
+copies as (select vec_id * 3 as id, vec_id, grid from v0 union all select vec_id * 3 + 1, vec_id, grid from v0 where vec_id % 3 = 0
+  union all select vec_id * 3 + 2, vec_id, list_transform(grid, lambda x, i: case when i - 1 = vec_id % 40 then -x else x end) from v0 where vec_id % 4 = 0),
+hashed as (select id, vec_id, reverse(list_aggregate([case when x::double >= m then '1' else '0' end for x in grid], 'string_agg', '')) as bits
+  from (select *, list_sum([y::double for y in grid]) / len(grid) as m from copies)),
+photos as (select id, '/vault/photos/img_' || vec_id || '_' || id % 3 || '.jpg' as path, 1000::bigint as size, (id % 7919)::double as modified, bits from hashed)"""
+
+
+def _photos(spark, sf_dir) -> DataFrame:
+    """Grids to hashes to files; names of copies differ by what a copy's name has."""
+    rows = fixtures.photo_copies(spark, sf_dir)
+    path = F.concat(F.lit("/vault/photos/img_"), F.col("vec_id").cast("string"), F.lit("_"), (F.col("id") % 3).cast("string"), F.lit(".jpg"))
+    hashed = rows.select("id", path.alias("path"), F.lit(1000).cast("long").alias("size"), (F.col("id") % 7919).cast("double").alias("modified"), contents.average_hash(F.col("grid")).alias("visual_hash"))
+    return as_files(hashed)
+
+
+@query(_PHOTOS + ", k as (select bits from photos group by 1 having count(*) > 1) select id, path, row_number() over (partition by bits order by modified, path, id) - 1 as keep_rank from photos where bits in (select bits from k)")
+def photo_copies(spark, sf_dir):
+    return duplicates.by_look(_photos(spark, sf_dir)).select("id", "path", "keep_rank")
+
+
+_NEAR_PHOTOS = _PHOTOS + (
+    ", h as (select distinct bits, bits[1:16] as p from photos), e as (select a.bits as x, b.bits as y from h a join h b on a.p = b.p and a.bits <> b.bits where bit_count(xor(a.bits::bit, b.bits::bit)) <= 8), "
+    "r as (select x as bits, x as seen from e union select r.bits, e.y from r join e on r.seen = e.x), c as (select bits, min(seen) as comp from r group by bits), "
+    "n as (select p.*, comp from photos p join c using (bits)), near as (select *, row_number() over (partition by comp order by modified, path, id) - 1 as keep_rank, min(id) over (partition by comp) as root from n)"
+)
+
+
+@query(_NEAR_PHOTOS + " select 'near:' || root as gid, id, path, keep_rank from near")
+def near_photos(spark, sf_dir):
+    """Near groups with the default prefix and distance."""
+    return duplicates.near_look(_photos(spark, sf_dir)).select("gid", "id", "path", "keep_rank")
+
+
+@query(_PHOTOS + ", k as (select id, bits, bits[1:16] as p from photos) select a.id as a, b.id as b, bit_count(xor(a.bits::bit, b.bits::bit))::int as distance from k a join k b on a.p = b.p and a.id < b.id where bit_count(xor(a.bits::bit, b.bits::bit)) <= 8")
+def near_photo_links(spark, sf_dir):
+    return duplicates.near_edges(_photos(spark, sf_dir))
+
+
+@query(
+    _NEAR_PHOTOS + ", look as (select *, count(*) over (partition by bits) as m, row_number() over (partition by bits order by modified, path, id) - 1 as r from photos), "
+    "sets as (select 'look' as reason, bits as g, string_agg(path, '|' order by path) as s, count(*) as n, sum(case when r > 0 then size else 0 end) as wasted from look where m > 1 group by bits "
+    "union all select 'near', 'near:' || root, string_agg(path, '|' order by path), count(*), sum(case when keep_rank > 0 then size else 0 end) from near group by root), "
+    "one as (select s, case when bool_or(reason = 'look') then 'look' else 'near' end as reason, any_value(n) as n, any_value(wasted) as wasted from sets group by s) "
+    "select reason, count(*) as n_groups, sum(n)::bigint as members, sum(wasted)::bigint as wasted from one group by reason"
+)
+def photo_report(spark, sf_dir):
+    """The report's photo searches (name, look, near) merged, by reason."""
+    found = duplicates.groups(duplicates.report(_photos(spark, sf_dir), exact_copies=False, photos=True))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("members"), F.sum("wasted").alias("wasted"))
+
+
+@query()
+def similar_names(spark, sf_dir):
+    """Names that look alike; difflib's ratio has no form in SQL, so a test holds them against all pairs."""
+    return similar.similar_names(fixtures.named_files(spark, sf_dir))
+
+
 _TOKEN_SETS = sql.DOCS + f", s as (select id, list_sort({_TOKENS}) as t from files where len({_TOKENS}) > 0), c as (select t, min(id) as class_id, count(*) as members from s group by t)"
 
 

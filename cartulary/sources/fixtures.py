@@ -51,6 +51,17 @@ from events"""
 MEDIA_GRID = """
 select vec_id as id, slice(embedding, 1, 64) as grid from embeddings"""
 
+#: Photos with copies: of each third a second one with the same pixels, of each fourth one with one pixel's sign turned round.
+PHOTO_COPIES = """
+select vec_id * 3 as id, vec_id, grid from (select vec_id, slice(embedding, 1, 64) as grid from embeddings)
+union all select vec_id * 3 + 1, vec_id, grid from (select vec_id, slice(embedding, 1, 64) as grid from embeddings) where vec_id % 3 = 0
+union all select vec_id * 3 + 2, vec_id, transform(grid, (x, i) -> if(i = vec_id % 40, -x, x)) from (select vec_id, slice(embedding, 1, 64) as grid from embeddings) where vec_id % 4 = 0"""
+
+#: Files named by the beginning of their text.
+NAMED_FILES = """
+select doc_id as id, concat('/named/', substr(regexp_replace(lower(text), '[^a-z]+', ' '), 1, 24), '.txt') as path, n_chars as size, cast(doc_id as double) as modified, '/named' as source_root
+from documents where text is not null"""
+
 FILES_MEDIA = """
 select vec_id as id, concat('/vault/photos/img_', cast(vec_id as string), '.jpg') as path,
   reverse(array_join(transform(v, x -> if(cast(x as double) >= m, '1', '0')), '')) as bits
@@ -90,3 +101,12 @@ def files_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def media_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, "embeddings", MEDIA_GRID)
+
+
+def photo_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded grids (id, vec_id, grid), copies and near copies among them."""
+    return spark.sql(PHOTO_COPIES.replace("from embeddings", "from {source}"), source=table(spark, sf_dir, "embeddings"))
+
+
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(_query(spark, sf_dir, "documents", NAMED_FILES))

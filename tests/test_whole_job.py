@@ -1,10 +1,12 @@
 """Work that was once left out: long lists, long texts, large name families."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from cartulary.operators import duplicates, naming, ranks
+from cartulary.functions import names as fn_names
+from cartulary.operators import duplicates, naming, ranks, similar_names
 from cartulary.plans import registry
 from cartulary.schema import as_files
 from cartulary.scratch import cut
@@ -143,3 +145,50 @@ def test_no_task_holds_a_hot_key(spark, tmp_path, monkeypatch):
         want.append((key, k, seen.get(key, 0)))
         seen[key] = seen.get(key, 0) + 1
     assert got == sorted(want)
+
+
+def test_similar_names_equal_all_pairs(spark):
+    rng = random.Random(11)
+    syllables = ["ka", "ri", "mo", "ten", "su", "ba", "do", "vi", "ne", "ox", "1", "20", "77"]
+    names_ = {"".join(rng.choices(syllables, k=rng.randint(1, 9)))[:20] for _ in range(1400)}
+    for n in sorted(names_)[:400]:
+        k = rng.randrange(len(n))
+        names_ |= {n[:k] + rng.choice("abz9") + n[k:], n[:k] + n[k + 1 :]}
+    names_ = sorted(n for n in names_ if n)[:2000]
+    files = _files(spark, [(i, f"/r/{n}.txt", 1, 0.0, "/r", None, None) for i, n in enumerate(names_)])
+    normal = sorted({r.a for r in files.select(fn_names.normalised(fn_names.basename(F.col("path"))).alias("a")).collect() if r.a})
+    want = set()
+    for j, y in enumerate(normal):
+        matcher = SequenceMatcher(None, "", y)
+        for x in normal[:j]:
+            matcher.set_seq1(x)
+            if matcher.real_quick_ratio() >= 0.82 and matcher.quick_ratio() >= 0.82 and matcher.ratio() >= 0.82:
+                want.add((x, y))
+    got = [(r.a, r.b) for r in similar_names.similar_names(files).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_close_hashes_meet_in_bands(spark):
+    """The default distance, over 2,000 photos of few lists: equal to all pairs."""
+    rng = random.Random(12)
+    values = [rng.randrange(3) << 48 | rng.getrandbits(48) for _ in range(1200)]
+    for v in values[:800]:
+        for _ in range(rng.randint(0, 9)):
+            v ^= 1 << rng.randrange(48)
+        values.append(v)
+    files = _files(spark, [(i, f"/p/{i}.jpg", 1, float(i), "/p", None, f"{v:016x}") for i, v in enumerate(values)])
+    want = {(i, j): d for j in range(len(values)) for i in range(j) if values[i] >> 48 == values[j] >> 48 and (d := (values[i] ^ values[j]).bit_count()) <= 8}
+    rows = duplicates.near_edges(files).collect()
+    assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want) > 300
+
+
+def test_groups_of_a_hot_key_are_ranked_in_ranges(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(ranks, "cut", lambda df, name: made.setdefault(name, cut(df, name)))
+    rows = [(i, f"/r/{i:04d}.txt", 0, float(i % 7), "/r", "", None) for i in range(3000)] + [(9000 + i, f"/r/x{i % 2}", 5, 0.0, "/r", "abcde", None) for i in range(2)]
+    members = duplicates.grouped(_files(spark, rows), F.col("size").cast("string"), "exact", "", hot=500)
+    got = {r.id: r.keep_rank for r in members.collect()}
+    order = sorted(range(3000), key=lambda i: (float(i % 7), f"/r/{i:04d}.txt", i))
+    assert got == {i: k for k, i in enumerate(order)} | {9000: 0, 9001: 1}
+    per = [r["count"] for r in made["ranges"].groupBy("_range").count().collect()]
+    assert sum(per) == 3000 and max(per) < 1500
