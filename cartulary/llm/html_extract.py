@@ -8,14 +8,13 @@ its occurrences lie; one that crosses another is dropped. The nested classes are
 the innermost class around it.
 
 The slots are judged once for the whole group. What the elements of a slot's template path say (nav, footer, aside, form, ..., or a class or id such as
-menu, cookie, advert, comments) makes it boilerplate; article and main elements make it a main slot. If the template has main slots, a page's text is what stands
-in them; words that are themselves in a valid class are the template's, and a whole line of them goes (there must be ``MAIN_PAGES`` different pages
-that do not share most of their main text). Elements inside a slot that the template does not know are judged by name too. A page without text in any main
+menu, cookie, advert, comments) makes it boilerplate; article and main elements make it a main slot. If the template has main slots, a page's text is all that
+stands in them, also lines that every page has, such as its headings. Elements inside a slot that the template does not know are judged by name too. A page without text in any main
 slot, as one of a minority template, is judged by its own elements: by its article or main element, or else all slots that are neither boilerplate nor template,
 but for lines of links only that stand outside the path prefix of most of the page's own free text.
 
-Inside a main element a compound name counts by its last part (``share-price`` is no share bar), or by its first if that is never part of prose
-(``comments-area``), and a header is the article's own.
+Inside a main element a compound name counts by its last part (``share-price`` is no share bar), or by its first if its last says that it holds other things
+(``comments-area``, but not ``ad-hoc`` or ``related-work``), and a header is the article's own.
 
 Rows are dealt by host; hosts with more than 1 / ``SHARES`` of all pages (so at most ``SHARES`` hosts) are salted over many tasks. Within
 a task a host's pages follow one another and are taken in groups of ``group_pages`` up to twice as many, so memory does not depend on
@@ -48,7 +47,6 @@ GROUP_PAGES = 64
 SHARES = 1024
 MIN_SUPPORT = 0.8
 MIN_SIZE = 3
-MAIN_PAGES = 8
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,8 +75,9 @@ NOT_NAMES = frozenset(
     "form search pagination pager toolbar widget widgets skip copyright".split()
 )
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-#: First parts of compound names that mark what is not the article even inside it, and names that inside it are its own.
+#: First parts of compound names that mark what is not the article even inside it, before a last part that means a holder; and names that inside it are its own.
 NEVER_PROSE = frozenset("comment comments respond disqus cookie cookies ad ads adv advert adverts advertisement newsletter sidebar breadcrumb breadcrumbs popup modal related recommended sponsor sponsored promo".split())
+HOLDERS = frozenset("area box list section container wrapper wrap block slot unit bar panel posts articles stories links items thread feed inner outer module zone strip rail column tile card cards group widget".split())
 OWN_NAMES = frozenset({"header", "masthead", "banner", "notice", "notices"})
 MAIN = frozenset({"article", "main"})
 MAIN_NAMES = frozenset({"article", "content", "post", "entry", "story", "main", "body"})
@@ -95,7 +94,7 @@ def _element(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool]
     role = found.get("role", "").lower()
     sign = name + "".join(f".{c}" for c in found.get("class", "").split()) + (f"#{found['id']}" if found.get("id") else "")
     if inside:
-        named = any(w and (w[0] in NEVER_PROSE or w[-1] in NOT_NAMES and w[-1] not in OWN_NAMES) for w in words)
+        named = any(w and (w[-1] in NOT_NAMES and w[-1] not in OWN_NAMES or w[0] in NEVER_PROSE and (w[-1] in HOLDERS or w[-1].isdigit())) for w in words)
         bad = name in NOT_TEXT and name != "header" or named
     else:
         bad = name in NOT_TEXT or any(not NOT_NAMES.isdisjoint(w) for w in words)
@@ -293,30 +292,44 @@ def valid_classes(pages: list[Page], min_support: float, min_size: int) -> tuple
                 break
         nested.append(c)
     template = {t for c in nested for t in c.tokens}
-    # a word that the template prints several times has a multiple of its class's vector
+    # a word that the template prints several times has a multiple of its class's vector, and stands in the same slots of every page
     once = {c.vector for c in nested}
+    again: dict[int, list] = {}
     for vector, tokens in groups.items():
         k = gcd(*(n for _, n in vector))
         if k > 1 and tuple((i, n // k) for i, n in vector) in once:
-            template.update(t for t in tokens if not pages[0].names.is_tag(t) and orders.get(wanted.get(t), True) is not None)
+            again.update((t, []) for t in tokens if not pages[0].names.is_tag(t))
+    for i, page in enumerate(pages if again else ()):
+        starts, slots = _edges(i, nested)
+        for t in again:
+            again[t].append([])
+        for at, t in enumerate(page.tokens):
+            if t in again:
+                again[t][-1].append(slots[bisect_right(starts, at) - 1])
+    template.update(t for t, own in again.items() if len({tuple(x) for x in own if x}) == 1)
     return template, nested
 
 
+def _edges(i: int, nested: list[Class]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Where the slots of page i begin, and which they are: (number of the innermost class around, gap), or (-1, -1) outside all classes."""
+    starts, slots = [0], [(-1, -1)]
+    number = {id(c): j for j, c in enumerate(nested)}
+    for at, j, r in sorted((at, j, r) for j, c in enumerate(nested) for r, at in enumerate(c.places.get(i, ()))):
+        c = nested[j]
+        starts.append(at + 1)
+        if r == len(c.places[i]) - 1:  # after its last token the text is in the slot around the class
+            slots.append((number[id(c.parent)], c.gap) if c.parent else (-1, -1))
+        else:
+            slots.append((j, r % len(c.tokens)))
+    return starts, slots
+
+
 def slots_of(pages: list[Page], nested: list[Class]) -> list[list[tuple[int, int]]]:
-    """Of each page the slot of each text: (number of the innermost class around it, gap), or (-1, -1) outside all classes."""
+    """Of each page the slot of each text."""
     out = []
     for i, page in enumerate(pages):
-        edges: list[tuple[int, tuple[int, int]]] = [(0, (-1, -1))]
-        marks = sorted((at, j, r) for j, c in enumerate(nested) for r, at in enumerate(c.places.get(i, ())))
-        number = {id(c): j for j, c in enumerate(nested)}
-        for at, j, r in marks:
-            c = nested[j]
-            if r == len(c.places[i]) - 1:  # after its last token the text is in the slot around the class
-                edges.append((at + 1, (number[id(c.parent)], c.gap) if c.parent else (-1, -1)))
-            else:
-                edges.append((at + 1, (j, r % len(c.tokens))))
-        starts = [e[0] for e in edges]
-        out.append([edges[bisect_right(starts, t[3]) - 1][1] for t in page.texts])
+        starts, slots = _edges(i, nested)
+        out.append([slots[bisect_right(starts, t[3]) - 1] for t in page.texts])
     return out
 
 
@@ -340,30 +353,6 @@ def _printed(text: tuple, template: set[int], page: Page) -> bool:
     return bool(words) and all(numbers[w, text[0]] in template for w in words)
 
 
-def _main_template(pages: list[Page], mains: list[list[bool]], template: set[int]) -> list[set[int]]:
-    """Of each page the lines of main text that the template prints.
-
-    Copies of one article share their words as pages of one template do. So a group of fewer than ``MAIN_PAGES`` different pages, or one whose main
-    texts are shared for more than half, says nothing of them.
-    """
-    nothing: list[set[int]] = [set() for _ in pages]
-    if len({tuple(p.tokens) for p in pages}) < MAIN_PAGES:
-        return nothing
-    found, shared, total = [], 0, 0
-    for page, is_main in zip(pages, mains, strict=True):
-        sizes: dict[int, int] = defaultdict(int)
-        own: set[int] = set()
-        for text, main in zip(page.texts, is_main, strict=True):
-            if main and text[1].strip():
-                sizes[text[2]] += len(text[1].strip())
-                if not _printed(text, template, page):
-                    own.add(text[2])
-        found.append(sizes.keys() - own)
-        shared += sum(sizes[k] for k in found[-1])
-        total += sum(sizes.values())
-    return found if 2 * shared <= total else nothing
-
-
 def _main_path(page: Page, free: list[tuple]) -> tuple[str, ...]:
     """Where no element says what the main text is: the deepest path prefix, ids left out, with 60 % or more of the page's free text."""
     sizes: dict[int, int] = defaultdict(int)
@@ -384,7 +373,7 @@ def _main_path(page: Page, free: list[tuple]) -> tuple[str, ...]:
         paths = [(signs, n) for signs, n in paths if signs[len(prefix) - 1 : len(prefix)] == [best]]
 
 
-def _lines(kept: list[tuple], left_out: set[int]) -> str:
+def _lines(kept: list[tuple], left_out: set[int] = frozenset()) -> str:
     blocks: dict[int, list[str]] = {}
     for text in kept:
         if text[2] not in left_out:
@@ -416,11 +405,10 @@ def extract(sources: list[str], min_support: float = MIN_SUPPORT, min_size: int
         if not any(o and t[1].strip() for o, t in zip(own, page.texts, strict=True)):  # of another template, or the only page
             own = [c and names.paths[t[0]][3] and s not in boilerplate for c, s, t in zip(clean, slots, page.texts, strict=True)]
         mains.append(own)
-    printed = _main_template(pages, mains, template)
     out = []
-    for page, own, said in zip(pages, mains, printed, strict=True):
+    for page, own in zip(pages, mains, strict=True):
         if any(o and t[1].strip() for o, t in zip(own, page.texts, strict=True)):
-            out.append(_lines([t for o, t in zip(own, page.texts, strict=True) if o], said))
+            out.append(_lines([t for o, t in zip(own, page.texts, strict=True) if o]))
         else:
             out.append(_without_main(page, template))
     return out

@@ -80,10 +80,16 @@ def test_the_template_decides(monkeypatch):
     page = '<body><div class="x1">{a}</div><div class="content"><h2>Own {n}</h2><p>{w}</p><p class="zz">Printed on each page of the site</p></div></body>'
     odd = '<div class="content">quoted {n}</div>'
     pages = [page.format(a=odd.format(n=n) if n == 3 else f"top {n}", n=n, w=" ".join(f"w{n}x{k}" for k in range(30))) for n in range(12)]
-    want = [f"Own {n}\n" + " ".join(f"w{n}x{k}" for k in range(30)) for n in range(12)]
+    want = [f"Own {n}\n" + " ".join(f"w{n}x{k}" for k in range(30)) + "\nPrinted on each page of the site" for n in range(12)]
     assert H.extract(pages) == want
+    # names that say nothing: only what the pages share tells the article from the rest
+    soup = '<body><div class="q1"><a href="/">Start</a> <a href="/n">News of the day</a></div><div class="q2"><h1>Own {n}</h1><p>{w}</p></div><div class="q3"><p>All rights with the makers of this site</p><p>Made with care</p></div></body>'
+    mute = [soup.format(n=n, w=" ".join(f"w{n}x{k}" for k in range(30))) for n in range(12)]
+    own = [f"{n}\n" + " ".join(f"w{n}x{k}" for k in range(30)) for n in range(12)]
+    assert [t.removeprefix("Own ") for t in H.extract(mute)] == own
     monkeypatch.setattr(H, "valid_classes", lambda *_: (set(), []))
-    assert all(a != b for a, b in zip(H.extract(pages), want, strict=True))
+    assert H.extract(pages)[3] != want[3]
+    assert all("rights" in t or "News" in t for t in H.extract(mute))
 
 
 def test_deep_pages_take_memory_in_proportion():

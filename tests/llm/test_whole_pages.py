@@ -18,11 +18,19 @@ def test_one_long_page_does_not_empty_the_others():
     assert [len(t.split()) for t in H.extract(pages)] == [5, 5, 2000, 5, 5]
 
 
-def test_lines_that_the_template_prints_inside_the_article_go():
+def test_lines_of_the_article_stay_though_every_page_has_them():
     words = [" ".join(f"w{n}x{k}" for k in range(60)) for n in range(10)]
-    page = '<article><h1>Head {n}</h1><p>{w}</p><div class="zz">Tell the editor what the reader thinks of the story</div><p>By <b>writer {n}</b></p></article>'
+    page = '<article><h1>Head {n}</h1><p>{w}</p><h2 class="part-title">Conclusion</h2><table><tr><td>Population</td><td>{n}m</td></tr></table><p>By <b>writer {n}</b></p></article>'
     pages = [page.format(n=n, w=w) for n, w in enumerate(words)]
-    assert H.extract(pages) == [f"Head {n}\n{w}\nBy writer {n}" for n, w in enumerate(words)]
+    for size in (1, 3, 7, 8, 10):
+        assert H.extract(pages[:size]) == [f"Head {n}\n{w}\nConclusion\nPopulation\n{n}m\nBy writer {n}" for n, w in enumerate(words[:size])]
+
+
+def test_names_inside_the_article():
+    prose = ["ad-hoc", "promo-code", "related-work", "share-price", "form-guide", "comment-free", "sponsor-facts"]
+    other = ["ad-slot", "comments-area", "related-posts", "promo-box", "newsletter-signup", "ad-1", "cookie-banner-box", "comment"]
+    page = "<article>" + "".join(f'<div class="{c}">text of {c}</div>' for c in prose + other) + "</article>"
+    assert H.extract([page]) == ["\n".join(f"text of {c}" for c in prose)]
 
 
 def test_copies_of_one_article_keep_their_text():
