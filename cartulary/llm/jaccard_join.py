@@ -46,7 +46,7 @@ CHUNK_BITS = 16
 LEAST_BITS, MOST_BITS = 18, 25
 FRAGMENTS = 4
 #: The fragments that one pass counts where only links are wanted: most pairs drop out in the first.
-PASSES = ((0, 1), (1, 2), (2, FRAGMENTS))
+PASSES = ((0, 1), (1, FRAGMENTS))
 BUCKET = 1 << 19
 ROUNDS = 3
 CROSS_PER_ROW = 2
