@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from cartulary.functions import formats, names
@@ -38,13 +40,69 @@ def file_cards(files: DataFrame) -> DataFrame:
     )
 
 
+def _hadoop(spark, path: str):
+    """Hadoop's file context, paths and file system for a path: whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, where, where.getFileSystem(conf)
+
+
+def _switch(spark, path: str, version: str) -> None:
+    """Make a version the current one: the marker is written beside and renamed over the old one, so readers see the one or the other."""
+    jvm, conf, _, store = _hadoop(spark, path)
+    beside, marker = jvm.org.apache.hadoop.fs.Path(f"{path}/.{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    out = store.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(beside), store.makeQualified(marker), overwrite)
+
+
+def _current(spark, path: str) -> str | None:
+    jvm, _, _, store = _hadoop(spark, path)
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    if not store.exists(marker):
+        return None
+    source = store.open(marker)
+    try:
+        return bytes(b & 255 for b in source.readNBytes(64)).decode()
+    finally:
+        source.close()
+
+
+def _put(files: DataFrame, path: str, kept: DataFrame | None) -> None:
+    """Write files as a new version's folders by source root, then the table that says which root is read from which version, then the marker."""
+    version = uuid.uuid4().hex
+    files.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "source_root").parquet(f"{path}/files")
+    spark = files.sparkSession
+    roots = spark.read.parquet(f"{path}/files").where(F.col("version") == version).select(F.col("source_root").cast("string").alias("source_root")).distinct().withColumn("version", F.lit(version))
+    if kept is not None:
+        roots = roots.unionByName(kept.join(roots, "source_root", "left_anti"))
+    roots.write.parquet(f"{path}/versions/{version}")
+    _switch(spark, path, version)
+
+
 def write_index(files: DataFrame, path: str) -> None:
-    """A fresh index in place of the old one, by source root. The digest cache has its own path."""
-    files.write.mode("overwrite").partitionBy("source_root").parquet(path)
+    """A fresh index in place of the old one, by source root. Until the marker is renamed readers have the old one whole."""
+    _put(files, path, None)
+
+
+def upsert_index(files: DataFrame, path: str) -> None:
+    """The rows of files in place of those of their source roots; other roots stay as they are and aren't read or written."""
+    spark = files.sparkSession
+    version = _current(spark, path)
+    _put(files, path, spark.read.parquet(f"{path}/versions/{version}") if version else None)
 
 
 def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The current version. Folders that no finished write named are not seen; which folders are read is pruned by root and version."""
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no index in {path}")
+    roots = spark.read.parquet(f"{path}/versions/{version}")
+    return spark.read.parquet(f"{path}/files").withColumn("source_root", F.col("source_root").cast("string")).join(roots, ["version", "source_root"], "left_semi").drop("version")
 
 
 def write_meta(spark, values: dict[str, str], path: str) -> None:

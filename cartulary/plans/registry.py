@@ -5,12 +5,15 @@ A query takes (spark, sf_dir) and runs over its whole fixture table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from cartulary.functions import contents, formats, names
 from cartulary.operators import advise, duplicates, index, layout, naming, report, similar_names as similar
 from cartulary.plans import sql
 from cartulary.schema import as_files
+from cartulary.scratch import shared_dir
 from cartulary.sources import fixtures
 
 QUERIES: dict = {}
@@ -230,6 +233,17 @@ def size_buckets(spark, sf_dir):
     return index.same_size(_docs(spark, sf_dir)).select("id", "size")
 
 
+@query(sql.DOCS + ", last as (select max(source_root) as r from files) select id, path, case when source_root = r then size + 1 else size end as size, category from files, last where source_root <> r or id % 3 = 0")
+def index_round_trip(spark, sf_dir):
+    """An index written, one source root's rows replaced, and read again."""
+    files = _docs(spark, sf_dir).drop("content")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    report.write_index(files, path)
+    newest = files.agg(F.max("source_root")).scalar()
+    report.upsert_index(files.where((F.col("source_root") == newest) & (F.col("id") % 3 == 0)).withColumn("size", F.col("size") + 1), path)
+    return report.read_index(spark, path).select("id", "path", "size", "category")
+
+
 @query(
     sql.DOCS + ", m as (select distinct parent from files where id % 3 = 0), z as (select id, name, source_root, parent from files where ext = 'zip') "
     "select id, name from z where parent not in (select parent from m)"
