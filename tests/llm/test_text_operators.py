@@ -67,6 +67,34 @@ def test_layers(wrapped, name):
     assert "12345" not in S.masked(text) or "assign" not in " ".join(h[1] for h in S.unwrap(S.masked(text))[0])
 
 
+WRAPS = {
+    "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "base64.gzip": lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    "base64.zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+}
+
+
+@given(st.lists(st.lists(st.sampled_from(sorted(WRAPS)), min_size=1, max_size=4), min_size=1, max_size=3), st.text(alphabet="aé日 ", max_size=8))
+@settings(max_examples=120, deadline=None)
+def test_every_chain_of_layers_is_unwrapped(chains, between):
+    """Secrets in known chains of layers: each is found under the chain's name, within the characters that hold it."""
+    text, want = between + " ", []
+    for chain in chains:
+        run = SECRET
+        for kind in reversed(chain):
+            run = WRAPS[kind](run)
+        want.append((len(text), ".".join([*chain, "assign"]), len(text) + len(run)))
+        text += run + " " + between + " "
+    hits, _, refused = S.unwrap(text)
+    assert not refused
+    for start, name, end in want:
+        assert any(s == start and n == name and start < e <= end for s, n, e in hits)
+    # nothing decoded is found outside the runs
+    assert all(any(a <= s and e <= b for a, _, b in want) for s, n, e in hits if "." in n)
+
+
 def test_bomb_and_cycle():
     bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
     assert S.unwrap(bomb, limit=1000)[2] == 1
