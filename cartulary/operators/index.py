@@ -8,7 +8,11 @@ from cartulary.functions import names
 from cartulary.scratch import cut
 
 
-def cap_members(members: DataFrame, per_archive: int, total: int) -> DataFrame:
+#: Members that are listed of one archive, and in all.
+MEMBERS_PER_ARCHIVE, MEMBERS_IN_ALL = 5_000, 100_000
+
+
+def cap_members(members: DataFrame, per_archive: int = MEMBERS_PER_ARCHIVE, total: int = MEMBERS_IN_ALL) -> DataFrame:
     """The first per_archive members of each archive, and of those the first total in scan order."""
     rank = F.row_number().over(Window.partitionBy("archive_container").orderBy("member_ord", "id"))
     return members.withColumn("_r", rank).where(F.col("_r") <= per_archive).drop("_r").orderBy("id", "member_ord").limit(total)

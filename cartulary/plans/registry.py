@@ -14,7 +14,7 @@ from cartulary.operators import advise, duplicates, index, layout, naming, repor
 from cartulary.plans import sql
 from cartulary.schema import as_files
 from cartulary.scratch import shared_dir
-from cartulary.sources import fixtures
+from cartulary.sources import archives, fixtures
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,10 +57,10 @@ def files_index(spark, sf_dir):
 
 @query(
     f"with m as ({fixtures.ZIP_MEMBERS}), r as (select *, row_number() over (partition by archive_container order by member_ord, id) as r from m) "
-    "select id, archive_container, archive_member, size from r where r <= 3 order by id, member_ord limit 100"
+    f"select id, archive_container, archive_member, size from r where r <= {index.MEMBERS_PER_ARCHIVE} order by id, member_ord limit {index.MEMBERS_IN_ALL}"
 )
 def zip_members_capped(spark, sf_dir):
-    return index.cap_members(fixtures.zip_members(spark, sf_dir), 3, 100).select("id", "archive_container", "archive_member", "size")
+    return index.cap_members(fixtures.zip_members(spark, sf_dir)).select("id", "archive_container", "archive_member", "size")
 
 
 @query(f"with m as ({fixtures.ZIP_MEMBERS}) select archive_container, count(*) as members, sum(size) as bytes, count(*) > 3 as capped from m group by 1")
@@ -228,6 +228,25 @@ def index_totals(spark, sf_dir):
     return index.totals(_docs(spark, sf_dir))
 
 
+@query(
+    sql.DOCS + f", m as ({fixtures.ZIP_MEMBERS}) select (select count(*) from files) + count(*) as n_files, (select sum(size) from files) + sum(size) as total_bytes, "
+    "(select sum(size) from files) as disk_bytes, (select count(*) from files) as disk_files, count(*) as archive_members from m"
+)
+def index_totals_members(spark, sf_dir):
+    """Totals over files on disk and archive members."""
+    rows = _docs(spark, sf_dir).drop("content").unionByName(fixtures.member_files(spark, sf_dir).drop("content"), allowMissingColumns=True)
+    return index.totals(rows)
+
+
+@query()
+def content_kinds(spark, sf_dir):
+    """What the first bytes of files look like, by extension; each fifth file holds digests of its text instead. Python's notion of a printable character has no
+    form in SQL, so a test holds the rule against plain code."""
+    raw = F.unhex(F.repeat(F.sha2("content", 512), 8))
+    rows = _docs(spark, sf_dir).select(F.lower(names.suffix(_name())).alias("extension"), F.when(F.col("id") % 5 == 0, raw).otherwise(F.col("content").cast("binary")).alias("content"))
+    return archives.looks_like_text(rows).groupBy("extension", "is_text").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query(sql.DOCS + "select id, size from files where size in (select size from files group by size having count(*) > 1)")
 def size_buckets(spark, sf_dir):
     return index.same_size(_docs(spark, sf_dir)).select("id", "size")
@@ -682,6 +701,27 @@ def suggestion(spark, sf_dir):
     return advise.suggestion(_docs(spark, sf_dir))
 
 
+_SAVED = {"Archives": "flat", "Other": "year"}
+_SAVED_LAYOUTS = ["type_date", "media_library", "documents_first"]
+
+
+def _with_saved(text: str) -> str:
+    """The suggestion's SQL with saved settings where the statistics say nothing."""
+    text = text.replace("else 'year_month' end as media_date_depth", "else 'year' end as media_date_depth").replace("when media / n >= 0.45 then 'year_month'", "when media / n >= 0.45 then 'year'")
+    text = text.replace("then false else true end end), true) as documents_by_ext", "then false else false end end), false) as documents_by_ext")
+    listed = ", ".join(f"'{x}'" for x in _SAVED_LAYOUTS)
+    text = text.replace("r.layouts[1] as layout_ids", f"case when r.layouts[1] in ({listed}) then '{','.join(x for x in layout.LAYOUTS if x in _SAVED_LAYOUTS)}' else r.layouts[1] end as layout_ids")
+    for c, mode in _SAVED.items():
+        own = f"coalesce(max(case when category = '{c}' then mode end), 'layout_default')"
+        text = text.replace(f'{own} as "mode_{c}"', f"case {own} when 'layout_default' then '{mode}' else {own} end as \"mode_{c}\"")
+    return text
+
+
+@query(_with_saved(ORACLE_SQL["suggestion"]))
+def suggestion_saved(spark, sf_dir):
+    return advise.suggestion(_docs(spark, sf_dir), saved_depth="year", saved_by_ext=False, saved_modes=_SAVED, saved_layouts=_SAVED_LAYOUTS)
+
+
 # ---- the engine's smaller operators ----
 
 

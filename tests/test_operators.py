@@ -177,3 +177,30 @@ def test_listing_orders(spark):
     assert [r[0] for r in layout.tree_order(tree).collect()] == ["a", "a/Z", "a b", "b", "B/z"]
     kids = spark.createDataFrame([("a", "z", True, None), ("a", "B", False, "/x"), ("a", "a", False, "/y"), ("", "k", False, "/k")], "parent string, name string, is_dir boolean, source string")
     assert [r["name"] for r in layout.child_order(kids).collect()] == ["k", "z", "a", "B"]
+
+
+def test_first_bytes_of_texts_and_others(spark):
+    from cartulary.sources import archives
+
+    rng = random.Random(6)
+    rows = [b"", b"plain text\n", "caf\u00e9 \u65e5\u672c".encode(), "latin \xe9\xe8".encode("latin-1"), b"\0" * 3 + b"a" * 50, b"\0\0" + b"a" * 50, bytes(range(32)) * 9, rng.randbytes(5000), b"a" * 4000 + b"\0" * 4000]
+    rows += [bytes(rng.choice([7, 65, 66, 10]) for _ in range(100)) for _ in range(20)] + [None]
+
+    def plain(raw):
+        raw = (raw or b"")[:4000]
+        if raw.count(b"\0") > max(2, len(raw) // 50):
+            return False
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            text = raw.decode("latin-1")
+        return not text or sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.85 * len(text)
+
+    got = archives.looks_like_text(spark.createDataFrame(list(enumerate(rows)), "id int, content binary"))
+    assert {r.id: r.is_text for r in got.collect()} == {k: plain(r) for k, r in enumerate(rows)}
+
+
+def test_member_caps(spark):
+    members = spark.createDataFrame([(a * 100 + k, f"/z{a}.zip", f"m{k}", k, 1) for a in range(3) for k in range(10)], "id long, archive_container string, archive_member string, member_ord int, size long")
+    assert [r.id for r in index.cap_members(members, 4, 6).collect()] == [0, 1, 2, 3, 100, 101]
+    assert index.cap_members(members).count() == 30
