@@ -224,7 +224,9 @@ def _compared(table: pa.Table) -> pa.Table:
         if len(others):
             apart, both = p[others] - p[a], p[others] + p[a]
             sums = (apart * apart // both).sum(axis=1)
-            out += [(names[int(a)].as_py(), names[int(b)].as_py(), int(s)) for b, s in zip(others, sums, strict=True)]
+            one = names[int(a)].as_py()
+            # by name: the order of rows, and of the dictionary with it, is another in each range
+            out += [(*sorted((one, names[int(b)].as_py())), int(s)) for b, s in zip(others, sums, strict=True)]
     a, b, sums = zip(*out, strict=True) if out else ((), (), ())
     lang = pa.array([table.column("lang")[0].as_py()] * len(a), pa.binary())
     return pa.table([lang, pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sums, pa.int64()), pa.array([size] * len(a), pa.int64())], names=["lang", "a", "b", "value", "seen"])

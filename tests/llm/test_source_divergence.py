@@ -78,6 +78,18 @@ def test_blocks_and_ranges_change_nothing(spark, documents):
     assert one == other and len(one) == sum(n * (n - 1) for n in peers.values())
 
 
+def test_two_sources_are_one_pair_whatever_the_order_of_rows():
+    import pyarrow as pa
+
+    def table(sources):
+        k = len(sources)
+        columns = {"lang": [b"en"] * k, "bi": [0] * k, "bj": [0] * k, "block": [0] * k, "source": sources, "divisor": [50] * k, "term": [b"t"] * k, "n": [len(s) for s in sources]}
+        return pa.table({c: pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for c, v in columns.items()})
+
+    rows = [sorted(map(tuple, (r.values() for r in D._compared(table(s)).to_pylist()))) for s in ([b"a", b"bb", b"ccc"], [b"ccc", b"a", b"bb"], [b"bb", b"ccc", b"a"])]
+    assert rows[0] == rows[1] == rows[2] and {r[1:3] for r in rows[0]} == {(b"a", b"bb"), (b"a", b"ccc"), (b"bb", b"ccc")}
+
+
 @given(st.lists(st.tuples(st.integers(0, 10**12), st.integers(1, 8 * 10**15)), min_size=1, max_size=20))
 @settings(max_examples=200, deadline=None)
 def test_exact_rates(pairs):
