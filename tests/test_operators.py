@@ -170,6 +170,18 @@ def test_two_phase_digest_nulls(spark):
     assert got[1] and got[2] and got[1] != got[2] and got[3] is None and got[4] is None and got[5]
 
 
+def test_two_phase_digest_counts_characters_of_text_and_bytes_of_others(spark):
+    from cartulary.operators import duplicates
+
+    rows = spark.createDataFrame([(1, 9, "éé34xxxxx"), (2, 9, "éé39yyyyy"), (3, 9, "plumlessA"), (4, 9, "buckerooB")], "id long, size long, content string")
+    assert {r["id"] for r in duplicates.two_phase_digest(rows, 4).where("digest is not null").collect()} == set()
+    assert {r["id"] for r in duplicates.two_phase_digest(rows, 3).where("digest is not null").collect()} == {1, 2}
+    # equal CRC-32 of the first 8
+    assert {r["id"] for r in duplicates.two_phase_digest(rows, 8).where("digest is not null").collect()} == set()
+    raw = rows.withColumn("content", rows["content"].cast("binary"))
+    assert {r["id"] for r in duplicates.two_phase_digest(raw, 5).where("digest is not null").collect()} == {1, 2}
+
+
 def test_listing_orders(spark):
     from cartulary.operators import layout
 
