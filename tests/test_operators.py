@@ -162,6 +162,21 @@ def test_member_copies_and_marks(spark):
     assert [r["path"] for r in duplicates.marked_files(found, marks).collect()] == ["/v/a.txt"]
 
 
+def test_members_with_equal_checksums_are_judged_by_their_content(spark):
+    from cartulary.operators import duplicates
+    from cartulary.schema import as_files
+
+    files = as_files(spark.createDataFrame([(1, "/v/a.txt", 8, 1.0, "plumless"), (2, "/v/b.txt", 0, 2.0, None)], "id long, path string, size long, modified double, content string"))
+    inner = [(9, "in.txt", 8, 0.5, "buckeroo"), (10, "also.txt", 8, 0.5, "buckeroo"), (11, "more.txt", 8, 0.6, "plumless"), (12, "null.txt", 0, 0.7, None)]
+    members = spark.createDataFrame(inner, "id long, archive_member string, size long, modified double, content string").selectExpr(
+        "*", "'/v/z.zip' path", "'/v/z.zip' archive_container", "crc32(cast(content as binary)) zip_crc"
+    )
+    assert members.where("content is not null").select("zip_crc").distinct().count() == 1
+    found = duplicates.exact_with_members(files, as_files(members)).collect()
+    assert len({r["gid"] for r in found}) == 2
+    assert sorted((r["id"], r["keep_rank"]) for r in found) == [(1, 1), (9, 1), (10, 0), (11, 0)]
+
+
 def test_two_phase_digest_nulls(spark):
     from cartulary.operators import duplicates
 
