@@ -21,12 +21,10 @@ from cartulary.operators.ranks import HOT, running
 from cartulary.scratch import cut, drop
 
 
-def _numbered(name: Column, k: Column) -> Column:
-    return F.when(k == 0, name).otherwise(F.concat(names.stem(name), F.lit("_"), k.cast("string"), names.suffix(name)))
-
-
 def _numbered_path(path: Column, k: Column) -> Column:
-    return F.concat(names.parent(path), F.lit("/"), _numbered(names.basename(path), k))
+    suffix = names.suffix(names.basename(path))
+    front = F.substring(path, F.lit(1), F.length(path) - F.length(suffix))
+    return F.when(k == 0, path).otherwise(F.concat(front, F.lit("_"), k.cast("string"), suffix))
 
 
 def _bases(path: Column) -> Column:
@@ -91,8 +89,7 @@ def unique_names(plan: DataFrame, existing: DataFrame | None = None, hot: int =
     A path with more rows or numbered names than ``hot`` is ranked range by range.
     """
     wanted = cut(plan.where("destination is not null"), "plan")
-    rows = cut(running(wanted, ["destination"], [F.col("ord")], "_rank", hot=hot), "ranked")
-    found = rows.groupBy("destination").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    found = wanted.groupBy("destination").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     if existing is None:
         paths = found.withColumn("there", F.lit(False))
     else:
@@ -102,9 +99,15 @@ def unique_names(plan: DataFrame, existing: DataFrame | None = None, hot: int =
     links = cut(_links(paths), "links")
     columns = plan.columns
     lost = paths.where("n > 0 and there").select("destination")
+    rows = running(wanted, ["destination"], [F.col("ord")], "_rank", hot=hot, sizes=paths.select("destination", F.col("n").alias("_n")))
     if links.isEmpty():
-        ranked = rows.join(lost.withColumn("_lost", F.lit(1)), "destination", "left").withColumn("_k", F.col("_rank") + F.coalesce("_lost", F.lit(0)))
+        # ranked on the way out: nothing else reads the ranks
+        if existing is None:
+            ranked = rows.withColumn("_k", F.col("_rank"))
+        else:
+            ranked = rows.join(lost.withColumn("_lost", F.lit(1)), "destination", "left").withColumn("_k", F.col("_rank") + F.coalesce("_lost", F.lit(0)))
     else:
+        rows = cut(rows, "ranked")
         narrow = cut(rows.join(links.select(F.col("base").alias("destination")).distinct(), "destination", "left_semi").select("destination", "_rank", "ord"), "linked")
         state = _settled(links, paths, narrow, hot)
         lost = lost.unionByName(state.where("not blocked").select(F.col("name").alias("destination"))).distinct()

@@ -192,3 +192,19 @@ def test_groups_of_a_hot_key_are_ranked_in_ranges(spark, monkeypatch):
     assert got == {i: k for k, i in enumerate(order)} | {9000: 0, 9001: 1}
     per = [r["count"] for r in made["ranges"].groupBy("_range").count().collect()]
     assert sum(per) == 3000 and max(per) < 1500
+
+
+def test_ranks_that_nothing_else_reads_are_not_written(spark, monkeypatch):
+    written = []
+    for module in (naming, ranks):
+        monkeypatch.setattr(module, "cut", lambda df, name, cut=module.cut: written.append(name) or cut(df, name))
+    rows = [(i, f"/d/{'abc'[i % 3]}.x/n{i % 4}{['.jpg', ''][i % 2]}") for i in range(60)]
+    plan = spark.createDataFrame([(i, i, d) for i, d in rows], "ord long, id long, destination string")
+    there = ["/d/a.x/n0.jpg", "/d/z"]
+    for have in (None, there):
+        written.clear()
+        taken = None if have is None else spark.createDataFrame([(x,) for x in have], "destination string")
+        got = {r.ord: (r.final_destination, r.renamed) for r in naming.unique_names(plan, taken, 3).collect()}
+        want = _sequential([d for _, d in rows], set(have or []))
+        assert got == {i: (w, w != d) for (i, d), w in zip(rows, want, strict=True)}
+        assert "ranked" not in written and written.count("hot_keys") == 1
