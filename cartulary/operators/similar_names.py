@@ -1,65 +1,111 @@
 """Pairs of similar names by difflib's ratio, 2 M / (|a| + |b|) with M matched characters.
 
-No pair over the limit is lost, by two bounds. What isn't matched is inserted or deleted: d = (1 - limit) (|a| + |b|) characters at most, each of which spoils two
-of a name's bigrams at most. And M is at most the number of characters that both have. So two names of ``SHORT`` characters or more
-share bigrams, two names of which one is shorter share characters, of which so many that some of the rarest of both are among them: names meet in these.
-Equal grams of a name are numbered, so that they are sets. For pairs that meet, the common characters are counted; the ratio itself is computed for what is left.
+Names of some 20 letters that may differ in a third of their bigrams have no rare part that all partners share, so names are compared block by block in arrays.
+No pair over the limit is lost: M is at most the number of characters that both have, told by a bit for each letter and its first, second, ... place in the
+name, and at most the length of the longest common subsequence, found for many pairs at a time in 64-bit words. Only what is left is matched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cartulary.functions import names
 from cartulary.scratch import cut
 
-SHORT = 8
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Places of a letter that have a bit; further ones are counted together.
+PLACES = 7
+WORD = 64
+BLOCK = 1 << 14
+LEAST_BLOCKS = 5
+AT_ONCE = 1 << 18
 
 
-def _met(named: DataFrame, q: int, least: Column) -> DataFrame:
-    """Pairs (a, b) of names (a, l) that have a gram in common among the l - q + 2 - least rarest of both."""
-    grams = named.select("a", "l", F.explode(F.transform(F.sequence(F.lit(1), F.col("l") - q + 1), lambda i: F.substring("a", i, F.lit(q)))).alias("g"))
-    numbered = grams.withColumn("i", F.row_number().over(Window.partitionBy("a", "g").orderBy(F.lit(1)))).select("a", "l", F.concat("g", F.lit("#"), F.col("i").cast("string")).alias("g"))
-    numbered = cut(numbered, "grams")
-    often = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("df", "g"))
-    front = cut(numbered.join(often, "g").withColumn("r", place).where(F.col("r") <= F.col("l") - q + 2 - F.greatest(F.lit(1), least)).select("a", "l", "g"), "front")
-    return front.join(front.select(F.col("a").alias("b"), F.col("l").alias("m"), "g"), "g").where("a < b").select("a", "b", "l", "m").distinct()
+class _Block:
+    def __init__(self, found: list[str]):
+        self.names, k = found, len(found)
+        self.lengths = np.array([len(x) for x in found], dtype=np.int64)
+        code = np.full(256, len(LETTERS), dtype=np.uint8)
+        code[np.frombuffer(LETTERS.encode(), dtype=np.uint8)] = np.arange(len(LETTERS))
+        flat = code[np.frombuffer("".join(found).encode(), dtype=np.uint8)]
+        owner = np.repeat(np.arange(k), self.lengths)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        short = at < WORD
+        self.codes = np.full((k, WORD), len(LETTERS), dtype=np.uint8)
+        self.codes[owner[short], at[short]] = flat[short]
+        self.where = np.zeros((k, len(LETTERS) + 1), dtype=np.uint64)
+        np.bitwise_or.at(self.where, (owner[short], flat[short]), np.uint64(1) << at[short].astype(np.uint64))
+        counts = np.zeros((k, len(LETTERS)), dtype=np.int64)
+        np.add.at(counts, (owner, flat), 1)
+        self.more = np.maximum(counts - PLACES, 0).sum(axis=1)
+        bits = (np.arange(PLACES) < counts[:, :, None]).reshape(k, -1)
+        self.bits = np.packbits(np.pad(bits, ((0, 0), (0, 4 * WORD - bits.shape[1]))), axis=1).view(np.uint64)
+
+
+def _subsequence(one: _Block, x: np.ndarray, two: _Block, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of names of one word or less."""
+    rest = np.full(len(x), ~np.uint64(0))
+    for j in range(int(two.lengths[y].max(initial=0))):
+        here = rest & one.where[x, two.codes[y, j]]
+        rest = (rest + here) | (rest - here)
+    return np.bitwise_count(~rest).astype(np.int64)
+
+
+def _hopeful(one: _Block, two: _Block, limit: float):
+    """(x, y) of the pairs that the bounds leave, some at a time."""
+    rows = max(1, AT_ONCE // max(1, len(two.names)) * 8)
+    for start in range(0, len(one.names), rows):
+        some = slice(start, start + rows)
+        total = one.lengths[some, None] + two.lengths[None]
+        common = np.minimum(one.more[some, None], two.more[None])
+        for w in range(one.bits.shape[1]):
+            common = common + np.bitwise_count(one.bits[some, None, w] & two.bits[None, :, w])
+        x, y = np.nonzero(2 * common >= limit * total - 1e-9)
+        x = x + start
+        if one is two:
+            x, y = x[x < y], y[x < y]
+        whole = (one.lengths[x] > WORD) | (two.lengths[y] > WORD)
+        for at in range(0, len(x), AT_ONCE):
+            p, q = x[at : at + AT_ONCE], y[at : at + AT_ONCE]
+            good = whole[at : at + AT_ONCE].copy()
+            told = np.flatnonzero(~good)
+            good[told] = 2 * _subsequence(one, p[told], two, q[told]) >= limit * (one.lengths[p[told]] + two.lengths[q[told]]) - 1e-9
+            yield p[good], q[good]
 
 
 def similar_names(files: DataFrame, limit: float = 0.82) -> DataFrame:
     """(a, b, ratio) of distinct normalised names that reach ``limit``; equal names are groups, not pairs."""
     if not 0.5 < limit <= 1:
         raise ValueError("limit is over 0.5 and at most 1")
-    named = cut(files.select(names.normalised(names.basename(F.coalesce("archive_member", "path"))).alias("a")).where("a <> ''").distinct().withColumn("l", F.length("a")), "names")
-    loss = 1 - limit
-    # equal lengths ask for the fewest: l - 1 bigrams less two for each lost character
-    bigrams = F.col("l") - 1 - 2 * F.floor(2 * loss * F.col("l") + 1e-9)
-    letters = F.ceil(limit / (2 - limit) * F.col("l") - 1e-9)
-    # a partner of a name of under SHORT characters has at most so many
-    reach = int((SHORT - 1) * (2 - limit) / limit + 1e-9)
-    met = _met(named.where(F.col("l") >= SHORT), 2, bigrams).unionByName(_met(named.where(F.col("l") <= reach), 1, letters)).distinct()
-    total = F.col("l") + F.col("m")
-    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit("")))
-    common = sum((F.least(count("a", x), count("b", x)) for x in LETTERS[1:]), F.least(count("a", "a"), count("b", "a")))
-    hopeful = met.where(F.least("l", "m") * (2 - limit) >= F.greatest("l", "m") * limit - 1e-9).where(2 * common >= limit * total - 1e-9)
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = SequenceMatcher(None)
-        for batch in batches:
-            out, last = [], None
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+    named = cut(files.select(names.normalised(names.basename(F.coalesce("archive_member", "path"))).alias("a")).where("a <> ''").distinct(), "names")
+    blocks = max(LEAST_BLOCKS, -(-named.count() // BLOCK))
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumn("bi", F.least("block", "_other")).withColumn("bj", F.greatest("block", "_other")).drop("_other")
+
+    def compared(table: pa.Table) -> pa.Table:
+        i, j = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        home, every = table.column("block").to_pylist(), table.column("a").to_pylist()
+        one = _Block([x for x, at in zip(every, home, strict=True) if at == i])
+        two = one if i == j else _Block([x for x, at in zip(every, home, strict=True) if at == j])
+        matcher, out = SequenceMatcher(None), []
+        for p, q in _hopeful(one, two, limit):
+            found = sorted(sorted((one.names[x], two.names[y]))[::-1] for x, y in zip(p.tolist(), q.tolist(), strict=True))
+            last = None
+            for b, a in found:
                 # what the matcher knows of its second name stays while that name does
-                if y != last:
-                    matcher.set_seq2(y)
-                    last = y
-                matcher.set_seq1(x)
-                out.append(matcher.ratio())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "ratio"])
-
-    return hopeful.select("a", "b").mapInArrow(ratios, "a string, b string, ratio double").where(F.col("ratio") >= limit)
+                if b != last:
+                    matcher.set_seq2(b)
+                    last = b
+                matcher.set_seq1(a)
+                if (ratio := matcher.ratio()) >= limit:
+                    out.append((a, b, ratio))
+        a, b, ratio = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "ratio": pa.array(ratio, pa.float64())})
+
+    # a number of its own: blocks are small in bytes, and would be put together in few tasks
+    dealt = dealt.repartition(blocks * (blocks + 1) // 2, "bi", "bj")
+    return dealt.groupBy("bi", "bj").applyInArrow(compared, "a string, b string, ratio double")
