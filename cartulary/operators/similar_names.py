@@ -46,7 +46,7 @@ class _Block:
         np.bitwise_or.at(self.where, (owner[short], flat[short]), np.uint64(1) << at[short].astype(np.uint64))
         counts = np.zeros((k, len(LETTERS)), dtype=np.int64)
         np.add.at(counts, (owner, flat), 1)
-        self.bits = (np.arange(PLACES) < counts[:, :, None]).reshape(k, -1)
+        self.bits = (np.arange(PLACES) < counts[:, :, None]).reshape(k, len(LETTERS) * PLACES)
         twos = np.zeros((k, 4 * WORD), dtype=bool)
         follow = np.flatnonzero(at[1:] > 0)
         twos[owner[follow], (flat[follow].astype(np.int64) * 37 + flat[follow + 1]) * 40503 % 65536 >> 8] = True

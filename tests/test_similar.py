@@ -1,7 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
-from cartulary.operators import similar_names as S
+from cartulary.operators import duplicates, similar_names as S
 
 
 def test_bounds_lose_no_pair():
@@ -57,3 +57,13 @@ def test_short_names_are_matched_in_arrays(spark, monkeypatch):
                             want[i, j] = r
             assert {k: r for k, r in got.items() if r >= 0.82} == want and len(want) > 5
     assert all(n > 65 for n in calls) and calls
+
+
+def test_few_names_leave_blocks_empty(spark):
+    """Fewer names than blocks: most blocks have none; no name and no text at all give no pair."""
+    rows = [(i, f"/r/{n}.txt") for i, n in enumerate(["holiday photos", "holiday photo", "x"])]
+    files = spark.createDataFrame(rows, "id long, path string").selectExpr("id", "path", "cast(null as string) archive_member")
+    assert [(r.a, r.b) for r in S.similar_names(files).collect()] == [("holidayphoto", "holidayphotos")]
+    assert S.similar_names(files.where("id < 0")).collect() == []
+    none = spark.createDataFrame([], "id long, content string")
+    assert duplicates.token_overlap(none).collect() == []
